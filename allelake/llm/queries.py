@@ -6,18 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from allelake.llm.huffman import token_round_trip
 from allelake.llm.jaccard_join import jaccard_components
+from allelake.llm.packing import pack_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Huffman-coded token files, read back."""
+    return token_round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share at least 85 percent of their four-word shingles."""
     return jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, max_tokens=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_huffman": op3_token_huffman,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
