@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from allelake.llm.huffman import token_round_trip
 from allelake.llm.jaccard_join import jaccard_components
+from allelake.llm.language_id import identify_languages
 from allelake.llm.packing import pack_documents
+from allelake.llm.quality import score_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,11 @@ def op3_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from three of four folds."""
+    return identify_languages(_table(spark, sf_dir, "documents"), folds=4, held_out_fold=2)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share at least 85 percent of their four-word shingles."""
     return jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
@@ -37,8 +44,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, max_tokens=4096)
 
 
+def op10_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from labels of four of five folds."""
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, held_out_fold=0, threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_huffman": op3_token_huffman,
+    "op5_language_mixture": op5_language_mixture,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_quality_attention": op10_quality_attention,
 }
