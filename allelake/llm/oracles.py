@@ -22,6 +22,11 @@ SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(low.b, n.doc_id)) A
 FROM n JOIN s USING (doc_id) LEFT JOIN low ON low.a = n.doc_id
 """
 
+_OP9 = """
+SELECT doc_id, lang, source, n_chars, CAST(octet_length(encode(text)) AS BIGINT) AS text_bytes, md5(text) AS text_md5 FROM documents
+"""
+
 ORACLE: dict[str, str] = {
     "op7_ngram_jaccard_join": _OP7,
+    "op9_size_tiered_shards": _OP9,
 }

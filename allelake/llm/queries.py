@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from allelake.llm.common import work_dir
+from allelake.llm.compaction import compacted
+from allelake.llm.decontaminate import find_contamination
 from allelake.llm.huffman import token_round_trip
 from allelake.llm.jaccard_join import jaccard_components
 from allelake.llm.language_id import identify_languages
@@ -24,6 +28,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, edited copies included."""
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Huffman-coded token files, read back."""
     return token_round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
@@ -44,15 +53,23 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, max_tokens=4096)
 
 
+def op9_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents appended as small shards, compacted, and read from the newest manifest."""
+    rows = compacted(_table(spark, sf_dir, "documents"), work_dir(spark, "shards"))
+    return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("text_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op10_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from labels of four of five folds."""
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, held_out_fold=0, threshold=0.3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_token_huffman": op3_token_huffman,
     "op5_language_mixture": op5_language_mixture,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_size_tiered_shards": op9_size_tiered_shards,
     "op10_quality_attention": op10_quality_attention,
 }
