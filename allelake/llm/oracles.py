@@ -22,11 +22,20 @@ SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(low.b, n.doc_id)) A
 FROM n JOIN s USING (doc_id) LEFT JOIN low ON low.a = n.doc_id
 """
 
+_OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, h, octet_length(encode(h)) AS n, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM q
+"""
+
 _OP9 = """
 SELECT doc_id, lang, source, n_chars, CAST(octet_length(encode(text)) AS BIGINT) AS text_bytes, md5(text) AS text_md5 FROM documents
 """
 
 ORACLE: dict[str, str] = {
+    "op2_warc_index": _OP2,
     "op7_ngram_jaccard_join": _OP7,
     "op9_size_tiered_shards": _OP9,
 }

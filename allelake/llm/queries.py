@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from allelake.llm.common import work_dir
 from allelake.llm.compaction import compacted
 from allelake.llm.decontaminate import find_contamination
+from allelake.llm.html_text import extract_text
 from allelake.llm.huffman import token_round_trip
 from allelake.llm.jaccard_join import jaccard_components
 from allelake.llm.language_id import identify_languages
 from allelake.llm.packing import pack_documents
 from allelake.llm.quality import score_quality
+from allelake.llm.warc import capture_histories
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +35,22 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, from the merged index of the archives."""
+    rows = capture_histories(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Huffman-coded token files, read back."""
     return token_round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of all pages, laid out."""
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from three of four folds."""
     return identify_languages(_table(spark, sf_dir, "documents"), folds=4, held_out_fold=2)
@@ -66,7 +79,9 @@ def op10_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_warc_index": op2_warc_index,
     "op3_token_huffman": op3_token_huffman,
+    "op4_html_layout": op4_html_layout,
     "op5_language_mixture": op5_language_mixture,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
