@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from allelake.llm.common import work_dir
 from allelake.llm.compaction import compacted
 from allelake.llm.decontaminate import find_contamination
+from allelake.llm.hnsw import nearest
 from allelake.llm.html_text import extract_text
 from allelake.llm.huffman import token_round_trip
 from allelake.llm.jaccard_join import jaccard_components
@@ -56,6 +57,11 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"), folds=4, held_out_fold=2)
 
 
+def op6_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th one."""
+    return nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share at least 85 percent of their four-word shingles."""
     return jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_huffman": op3_token_huffman,
     "op4_html_layout": op4_html_layout,
     "op5_language_mixture": op5_language_mixture,
+    "op6_hnsw_search": op6_hnsw_search,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_size_tiered_shards": op9_size_tiered_shards,
