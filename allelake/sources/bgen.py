@@ -247,6 +247,7 @@ def _batch(columns: list[list]) -> pa.RecordBatch:
 
 def read_bgen(spark: SparkSession, path: str, chunk_size: int = 8192, trusted: bool = False, dosages: bool = True) -> DataFrame:
     """Variants of a BGEN file."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BgenSource)
     return spark.read.format("bgen").option("chunk_size", chunk_size).option("trusted", str(trusted).lower()).option("dosages", str(dosages).lower()).load(path)
 

@@ -67,6 +67,7 @@ class BedReader(DataSourceReader):
 
 def read_bed(spark: SparkSession, path: str, chunk_size: int = 8192) -> DataFrame:
     """Variants of a .bed file and its side files."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BedSource)
     return spark.read.format("plink_bed").option("chunk_size", chunk_size).load(path)
 
