@@ -221,23 +221,36 @@ def _verify(percent: int):
     return run
 
 
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, longer ones folded to the shortest: what differs there differs unfolded."""
+    words = min(len(x) for x in sketches) // 8
+    out = np.empty((len(sketches), words), U)
+    for i, x in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, U).reshape(-1, words), axis=0)
+    return out
+
+
 def _compare_block(percent: int):
     """Pairs of one block (or of two blocks of one bucket) that lie in different components and pass the Hamming test."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, n = (table.column(x).to_numpy() for x in ("node", "component", "n"))
-        side, one = table.column("block").to_numpy(), table.column("left").to_numpy()
-        sketch = table.column("sketch").to_pylist()
-        a_out, b_out = [], []
-        order = np.argsort(node, kind="stable")
-        for p, i in enumerate(order):
-            later = order[p + 1 :]
-            near = later[(comp[later] != comp[i]) & (100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i]))]
-            for j in near:
-                if (side[i] != side[j] or one[i] == table.column("right")[0].as_py()) and node[i] != node[j] and _may_link(int(n[i]), int(n[j]), sketch[i], sketch[j], percent):
-                    a_out.append(node[i])
-                    b_out.append(node[j])
-        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+        order = np.argsort(table.column("node").to_numpy(), kind="stable")
+        node, comp, n, block = (table.column(x).to_numpy()[order] for x in ("node", "component", "n", "block"))
+        within = table.column("left")[0].as_py() == table.column("right")[0].as_py()
+        sketch = _folded(table.column("sketch").to_pylist())[order]
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(len(node) - 1):
+            j = slice(i + 1, None)
+            near = (comp[j] != comp[i]) & (node[j] != node[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
+            if not within:
+                near &= block[j] != block[i]
+            near = i + 1 + np.flatnonzero(near)
+            if len(near):
+                bits = np.bitwise_count(sketch[near] ^ sketch[i]).sum(1, dtype=np.int64)
+                near = near[bits <= (100 - percent) * (n[near] + n[i]) // (100 + percent)]
+                a_out.append(np.full(len(near), node[i]))
+                b_out.append(node[near])
+        return pa.table({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
 
     return run
 
