@@ -112,6 +112,8 @@ def infer(raw: np.ndarray, offsets: np.ndarray, logs: np.ndarray) -> list[list[t
     word_at = np.cumsum(word_at) - 1
     inside = _LETTERS[raw]
     for at, cell in _grams(raw, offsets):
+        if not len(at):
+            continue
         word = np.where(inside[at], word_at[at], word_at[at] + 1)  # a border n-gram belongs to the word it leads to
         begins = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         score[word[begins]] += np.add.reduceat(logs[cell], begins, axis=0)
