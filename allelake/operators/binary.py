@@ -203,3 +203,39 @@ def binary_test(wide: DataFrame, y: np.ndarray, covariates: np.ndarray | None, k
 
 def normal_cdf(x: np.ndarray) -> np.ndarray:
     return _phi(x)
+
+
+def interaction_kernel(y: np.ndarray, exposure: np.ndarray, covariates: np.ndarray | None = None, model: str = "qt") -> Callable[[np.ndarray], dict]:
+    """Test of dosage x exposure for one variant under a linear (qt), heteroskedastic (hlm), logistic (bt) or Firth model."""
+    base = np.column_stack([np.ones(len(y)), exposure, *([covariates] if covariates is not None else [])])
+
+    def test(g: np.ndarray) -> dict:
+        seen = ~np.isnan(g)
+        out: dict = {"n": int(seen.sum()), "beta": None, "se": None, "chisq": None, "log10p": None, "extra_code": NONE}
+        if not seen.any():
+            return out
+        g = np.where(seen, g, g[seen].mean())
+        x = np.column_stack([base, g, g * exposure])
+        if np.linalg.matrix_rank(x) < x.shape[1]:
+            return out
+        if model in ("bt", "firth"):
+            b, cov, fine = logistic_fit(x, y, firth=model == "firth")
+            if not fine:
+                return out | {"extra_code": FIRTH_FAILED if model == "firth" else LOGISTIC_FAILED}
+        else:
+            weight = np.ones(len(y))
+            if model == "hlm":
+                _, variance, _ = hlm_fit(base, np.column_stack([np.ones(len(y)), exposure]), y)
+                weight = np.exp(-np.clip(np.column_stack([np.ones(len(y)), exposure]) @ variance, -50, 50))
+            inverse = np.linalg.inv((x * weight[:, None]).T @ x)
+            b = inverse @ ((x * weight[:, None]).T @ y)
+            e = y - x @ b
+            cov = inverse * float((weight * e * e).sum() / (len(y) - x.shape[1]))
+        se = math.sqrt(cov[-1, -1])
+        chisq = float(b[-1] / se) ** 2
+        return out | {"beta": float(b[-1]), "se": se, "chisq": chisq, "log10p": _log10p(chisq)}
+
+    return test
+
+
+INTERACTION = "n int, beta double, se double, chisq double, log10p double, extra_code int"
