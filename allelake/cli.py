@@ -1,4 +1,4 @@
-"""Command line: python -m allelake.cli regenie2-linear --bgen FILE --pheno FILE --pheno-name NAME --out FOLDER ..."""
+"""Command line: python -m allelake.cli step2-linear --bgen FILE --pheno FILE --pheno-name NAME --out FOLDER ..."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from allelake.schemas import BinaryCorrection, Device, TraitType
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="allelake")
     modes = p.add_subparsers(dest="mode", required=True)
-    for mode in ("regenie2-linear", "regenie2-binary"):
+    for mode in ("step2-linear", "step2-binary"):
         m = modes.add_parser(mode)
         source = m.add_mutually_exclusive_group(required=True)
         source.add_argument("--bgen")
@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
         m.add_argument("--trusted-no-missing-diploid", action="store_true")
         m.add_argument("--no-final", action="store_true")
         m.add_argument("--device", choices=[x.value for x in Device], default="cpu", help="accepted, without effect")
-        if mode == "regenie2-binary":
+        if mode == "step2-binary":
             m.add_argument("--correction", choices=[x.value for x in BinaryCorrection], default="firth_approximate")
     return p
 
@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("allelake").getOrCreate()
     x = Inputs(a.bgen or a.bed, a.pheno, a.pheno_name, "bgen" if a.bgen else "plink", a.sample, a.covar, [c for c in a.covar_names.split(",") if c], a.pred, a.chunk_size, a.trusted_no_missing_diploid)
-    binary = a.mode == "regenie2-binary"
+    binary = a.mode == "step2-binary"
     made = run(spark, x, a.out, TraitType.BINARY if binary else TraitType.QUANTITATIVE, BinaryCorrection(a.correction) if binary else BinaryCorrection.FIRTH_APPROXIMATE, not a.no_final)
     print(json.dumps(made.__dict__))
     return 0

@@ -17,8 +17,8 @@ class Device(StrEnum):
 
 
 class AssociationMode(StrEnum):
-    REGENIE2_LINEAR = "regenie2_linear"
-    REGENIE2_BINARY = "regenie2_binary"
+    STEP2_LINEAR = "step2_linear"
+    STEP2_BINARY = "step2_binary"
 
 
 class TraitType(StrEnum):

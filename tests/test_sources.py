@@ -180,5 +180,5 @@ def test_streams(spark, tmp_path):
 def test_cli_arguments():
     from allelake.cli import parser
 
-    a = parser().parse_args(["regenie2-binary", "--bed", "x", "--pheno", "p", "--pheno-name", "y", "--out", "o", "--correction", "spa"])
-    assert a.correction == "spa" and a.mode == "regenie2-binary"
+    a = parser().parse_args(["step2-binary", "--bed", "x", "--pheno", "p", "--pheno-name", "y", "--out", "o", "--correction", "spa"])
+    assert a.correction == "spa" and a.mode == "step2-binary"
