@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,9 +146,9 @@ def _has_letter(raw: np.ndarray) -> bool:
     return any(c.isalpha() for c in raw.tobytes().decode())
 
 
-def _predict(langs: list[str], logs: np.ndarray):
+def _predict(langs: list[str], logs: Broadcast):
     def run(batches):
-        table = logs.value if hasattr(logs, "value") else logs
+        table = logs.value
         most = max(1 << 16, CHUNK_BYTES * 8 // max(8, len(langs)))
         for batch in batches:
             for lo, hi, raw, off in chunks(batch.column("text"), most):
@@ -192,14 +193,9 @@ def keep_known(docs: DataFrame) -> DataFrame:
     langs, logs = train(docs.where(fold != 2).select("text", "lang"))
     table = docs.sparkSession.sparkContext.broadcast(logs)
 
-    def run(batches):
-        for batch in batches:
-            for out in _predict(langs, table)([batch.select(["text"])]):
-                yield out
-
     def keep(batches):
         for batch in batches:
-            found = pa.concat_arrays([x.column("lang_pred") for x in run([batch])]) if batch.num_rows else pa.array([], pa.string())
-            yield batch.filter(pa.compute.not_equal(found, UNKNOWN))
+            found = [x for out in _predict(langs, table)([batch.select(["text"])]) for x in out.column("lang_pred").to_pylist()]
+            yield batch.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -113,4 +113,6 @@ def pack_documents(
     packed = light.groupBy("shard").applyInPandas(_pack_shard(capacity, weights, rule), PIECE + ", sequence_id long, offset long")
     if not with_ids:
         return packed
-    return packed.join(pieces.select("doc_id", "piece", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "ids_crc32"]), ["doc_id", "piece", "ids_crc32"])
+    ids = pieces.select(F.col("doc_id").alias("_doc"), F.col("piece").alias("_piece"), F.col("ids_crc32").alias("_crc"), "ids").dropDuplicates(["_doc", "_piece", "_crc"])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("piece") == F.col("_piece")) & (F.col("ids_crc32") == F.col("_crc"))
+    return packed.join(ids, same).drop("_doc", "_piece", "_crc")

@@ -200,6 +200,8 @@ def test_packing(spark):
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.length.sum() <= 4096 and (g.offset.to_numpy() == np.concatenate([[0], np.cumsum(g.length)[:-1]])).all()
     assert got.sequence_id.nunique() <= got.length.sum() // 4096 + 2
+    whole = packing.pack_documents(docs_of(spark, HARD), tokenizer_file(name), with_ids=True).collect()
+    assert len(whole) == sum(-(-len(x) // 4096) for x in all_ids(HARD, name, 1)) and all(crc(r.ids) == r.ids_crc32 for r in whole)
     assert packing.pack_documents(docs_of(spark, []), tokenizer_file(name)).count() == 0
     with pytest.raises(ValueError):
         packing.pack_documents(docs_of(spark, rows), tokenizer_file(name), max_attention=10)
