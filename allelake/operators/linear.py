@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from allelake.functions.pvalue import log10p
 
-TINY = 1e-12
+TINY = 1e-9
 
 
 def statistics(num: Column, den: Column, sigma2: Column) -> dict[str, Column]:
