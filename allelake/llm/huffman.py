@@ -15,6 +15,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ from pyspark.sql import types as T
 from allelake.llm.common import filesystem, stage, work_dir
 from allelake.llm.tokens import encoded
 
-MAX_LENGTH, BLOCK_IDS, CHECKPOINT = 20, 65_536, 128
+#: Longest code, ids of a block, ids between checkpoints, partitions whose counts are added at once.
+MAX_LENGTH, BLOCK_IDS, CHECKPOINT, MERGE = 20, 65_536, 128, 32
 MAGIC = b"ALKHUF1\n"
 
 
@@ -163,6 +165,36 @@ def _write_raw(tokenizer: str, end_id: int, folder: str):
     return run
 
 
+def _sum_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of counts from many, added up as they come."""
+    total = np.zeros(1, np.int64)
+    for batch in batches:
+        for ids, counts in zip(batch.column("ids"), batch.column("counts"), strict=True):
+            total = _added(total, ids.values.to_numpy(), counts.values.to_numpy())
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([used.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[used]], pa.list_(pa.int64()))], ["part", "ids", "counts"])
+
+
+def _added(total: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if len(ids) and ids[-1] >= len(total):
+        total = np.concatenate([total, np.zeros(int(ids[-1]) + 1 - len(total), np.int64)])
+    total[ids] += counts
+    return total
+
+
+def _total_counts(parts: DataFrame) -> np.ndarray:
+    """Count of every id: partitions' counts are added in groups of ``MERGE``, level by level, the last ``MERGE`` here."""
+    rows, n = parts.select("part", "ids", "counts"), parts.count()
+    while n > MERGE:
+        n = -(-n // MERGE)
+        rows = rows.withColumn("part", F.pmod("part", F.lit(n))).groupBy("part").applyInArrow(_sum_counts, "part int, ids array<int>, counts array<long>")
+    total = np.zeros(1, np.int64)
+    for batch in rows.toArrow().to_batches():
+        for ids, counts in zip(batch.column("ids"), batch.column("counts"), strict=True):
+            total = _added(total, ids.values.to_numpy(), counts.values.to_numpy())
+    return total
+
+
 def _read_raw(fs, path: str):
     codec = pa.Codec("zstd")
     with fs.open_input_stream(path) as f:
@@ -250,16 +282,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     """Write ``docs`` (doc_id, text) as a data set in ``folder``; gives its files (path, begin, bytes).
 
     Documents are in ascending doc_id order over all files (null first, repeated ids by text), each followed by ``end_id``;
-    a null text is empty. To the driver go the count of each id (no more than the vocabulary) and one row per partition.
+    a null text is empty. To the driver go at most ``MERGE`` rows of counts (no longer than the vocabulary) and one row per partition.
     """
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     raw = stage(ordered.mapInArrow(_write_raw(tokenizer, end_id, f"{folder}-raw"), MANIFEST), f"{folder}-parts")
-    counted = raw.select(F.arrays_zip("ids", "counts").alias("x")).select(F.explode("x").alias("x")).groupBy("x.ids").agg(F.sum("x.counts").alias("n")).collect()
-    counts = np.zeros(max([0, *(r[0] for r in counted)]) + 1, np.int64)
-    for i, n in counted:
-        counts[i] = n
-    lengths = code_lengths(counts, max_length)
+    lengths = code_lengths(_total_counts(raw), max_length)
     _put(spark, f"{folder}/codebook", zlib.compress(lengths.tobytes()))
     parts, begin, rows = raw.select("part", "path", "n_tokens").orderBy("part").collect(), 0, []
     for r in parts:
