@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in runs of about this many bytes, which bounds a task's memory whatever the batch holds.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:

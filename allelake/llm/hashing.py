@@ -23,7 +23,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for i, base in enumerate((_BASE, _INVERSE)):
             p = np.full(size, base, U)
             p[0] = 1

@@ -270,9 +270,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, name: str
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = stage(docs.mapInArrow(_fingerprint_batches(k), "doc_id long, n long, f1 long, f2 long, sketch binary"), f"{path}/prints")
     known = prints.where("doc_id is not null and n > 0")
-    classes = known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"))
-    members = stage(known.join(classes, ["n", "f1", "f2"]).select("doc_id", "node", "n", "f1", "f2", F.when(F.col("doc_id") == F.col("node"), F.col("sketch")).alias("sketch")), f"{path}/members")
-    heads = members.where("doc_id = node").dropDuplicates(["node", "f1", "f2"])
+    # Classes are staged: a join with a plain table lets Spark split a class that holds a large share of all rows.
+    classes = stage(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")), f"{path}/classes")
+    members = stage(known.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("doc_id", "node"), f"{path}/members")
+    first_of = classes.withColumnRenamed("node", "doc_id")
+    heads = known.join(first_of, ["doc_id", "n", "f1", "f2"]).dropDuplicates(["doc_id", "f1", "f2"]).select(F.col("doc_id").alias("node"), "n", "f1", "f2", "sketch")
+    heads = stage(heads, f"{path}/heads")
     twice = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
 
     # Buckets: one shuffle of the segment keys; buckets of one document never leave their task.
