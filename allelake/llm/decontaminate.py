@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every benchmark item gives its word trigrams. How many documents hold each of them is counted over the whole corpus; the
-rarest of each item become its seeds (a share of the item's own trigrams, so an item that leaked into very many documents
-keeps seeds). Documents that hold a seed are aligned with the item around it, word by word, and report the item if the
-alignment's score is a given share of the best possible one: copies, and copies with words replaced, dropped or added.
+All word trigrams of a benchmark item are its seeds: any of them may be the only one that an edited copy keeps. Documents
+that hold a seed are aligned with the item around it, word by word, and report the item if the alignment's score is a given
+share of the best possible one: copies, and copies with words replaced, dropped or added. Seeds that are common in the
+corpus cost little: a window that holds too few of the item's words to reach the score isn't aligned.
 
 The benchmark is taken in blocks of a bounded size; a block is broadcast, and documents are scanned where they are, so
-nothing of the corpus is shuffled but counts of the block's trigrams.
+nothing of the corpus is shuffled.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ GRAM = 3
 #: Bytes of item texts in one block.
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, 1, 1
+#: Pairs of a seed in a text and one in an item that are worked on at once.
+PAIRS = 1 << 20
 _FILTER_BITS = 22
 
 
@@ -90,38 +92,6 @@ def _block(rows: list, min_words: int) -> Block:
     return block
 
 
-def _count(block):
-    def run(batches):
-        b = block.value
-        total = np.zeros(len(b.unique), np.int64)
-        for batch in batches:
-            for _, _, raw, off in chunks(batch.column("text")):
-                grams, text = _text_grams(*_text_words(raw, off))
-                at, which = b.find(grams)
-                at, which = at[text[at] >= 0], which[text[at] >= 0]
-                if len(at):
-                    pairs = np.unique(text[at].astype(np.int64) * len(b.unique) + which)  # a document counts once
-                    total += np.bincount(pairs % len(b.unique), minlength=len(b.unique))
-        used = np.flatnonzero(total)
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["gram", "n"])
-
-    return run
-
-
-def _seeds(block: Block, documents: np.ndarray, share: float) -> Block:
-    """The block with the rarest trigrams of each item alone: ``share`` of them, four at least."""
-    which = np.searchsorted(block.unique, block.gram)
-    often = documents[which] + (block.begin[which + 1] - block.begin[which])
-    order = np.lexsort((block.place, often, block.item))
-    n = np.bincount(block.item, minlength=len(block.items))
-    rank = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
-    kept = np.sort(order[rank < np.maximum(4, np.ceil(share * n))[block.item[order]]])
-    out = Block(block.items, block.words, block.first, block.gram[kept], block.item[kept], block.place[kept])
-    out.index()
-    return out
-
-
 def align(item: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman scores of rows of words (padded with values that match nothing), and where in the window they end."""
     wide = np.arange(window.shape[1] + 1, dtype=np.int32) * GAP
@@ -146,6 +116,49 @@ def _padded(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, pad: int, reverse
     return np.where(inside, words[np.clip(at, 0, len(words) - 1)], U(pad))
 
 
+def _slack(size: np.ndarray) -> np.ndarray:
+    return size // 4 + 2
+
+
+def _places(block: Block, at: np.ndarray, which: np.ndarray, text: np.ndarray, first: np.ndarray):
+    """(text, item, lowest, highest place where the item would begin) of seeds in a text that lie alike."""
+    n = block.begin[which + 1] - block.begin[which]
+    total = np.concatenate([[0], np.cumsum(n)])
+    parts, lo = [], 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, "right")) - 1)
+        m = n[lo:hi]
+        entry = np.repeat(block.begin[which[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        where = np.repeat(at[lo:hi], m)
+        t, item = text[where], block.item[entry]
+        shift = where - first[t] - block.place[entry]
+        parts.append(_merged(t, item, np.floor_divide(shift, _slack(np.diff(block.first)[item])), shift, shift))
+        lo = hi
+    t, item, _, low, high = _merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    return t, item, low, high
+
+
+def _merged(t: np.ndarray, item: np.ndarray, band: np.ndarray, low: np.ndarray, high: np.ndarray):
+    order = np.lexsort((band, item, t))
+    t, item, band, low, high = (x[order] for x in (t, item, band, low, high))
+    head = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])]))
+    return t[head], item[head], band[head], np.minimum.reduceat(low, head), np.maximum.reduceat(high, head)
+
+
+def _may_reach(block: Block, words: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: float) -> np.ndarray:
+    """Whether so many of the item's words are in the window that the score can be reached: no match is lost by it."""
+
+    def keys(source, a, b):
+        n = b - a
+        row = np.repeat(np.arange(len(n)), n)
+        return row, source[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())] + H.mix(row.astype(U), 5)
+
+    size = block.first[item + 1] - block.first[item]
+    row, wanted = keys(block.words, block.first[item], block.first[item + 1])
+    held = np.bincount(row[np.isin(wanted, keys(words, lo, hi)[1])], minlength=len(item))
+    return held >= least * size
+
+
 def _matches(block: Block, words: np.ndarray, first: np.ndarray, least: float):
     """(text, item, score, first word, last word) of the items found in each text, the best place of each."""
     grams, text = _text_grams(words, first)
@@ -153,26 +166,18 @@ def _matches(block: Block, words: np.ndarray, first: np.ndarray, least: float):
     at, which = at[text[at] >= 0], which[text[at] >= 0]
     if not len(at):
         return []
-    n = block.begin[which + 1] - block.begin[which]
-    entry = np.repeat(block.begin[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    at = np.repeat(at, n)
-    t, item = text[at], block.item[entry]
+    t, item, low, high = _places(block, at, which, text, first)
     size = np.diff(block.first)[item]
-    slack = size // 4 + 2
-    shift = at - first[t] - block.place[entry]  # where the item would begin in the text
-    band = np.floor_divide(shift, slack)
-    order = np.lexsort((shift, band, item, t))
-    t, item, size, slack, shift, band = (x[order] for x in (t, item, size, slack, shift, band))
-    new = np.concatenate([[True], (t[1:] != t[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])])
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(t)) - 1
-    t, item, size, slack, low, high = t[head], item[head], size[head], slack[head], shift[head], shift[tail]
+    slack = _slack(size)
     lo = np.maximum(first[t], first[t] + low - slack)
     hi = np.minimum(first[t + 1], first[t] + high + size + slack)
     found = {}
     order = np.lexsort((hi - lo, size))
     for s in range(0, len(order), 256):
         some = order[s : s + 256]
+        some = some[_may_reach(block, words, item[some], lo[some], hi[some], least)]
+        if not len(some):
+            continue
         a, b = block.first[item[some]], block.first[item[some] + 1]
         score, end = align(_padded(block.words, a, b, 0), _padded(words, lo[some], hi[some], 1))
         good = score >= least * MATCH * size[some]
@@ -188,31 +193,25 @@ def _matches(block: Block, words: np.ndarray, first: np.ndarray, least: float):
     return [(*k, -v[0], v[1], v[2]) for k, v in sorted(found.items())]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, share: float, min_words: int):
-    """Each block of the benchmark with its seeds, as broadcasts."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, min_words: int):
+    """Each block of the benchmark, as broadcasts."""
     sc = docs.sparkSession.sparkContext
     items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
     for i in range(n):
         block = _block([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()], min_words)
-        if not block.items:
-            continue
-        whole = sc.broadcast(block)
-        counts = docs.select("text").mapInArrow(_count(whole), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        documents = np.zeros(len(block.unique), np.int64)
-        for g, c in counts:
-            documents[g] = c
-        yield sc.broadcast(_seeds(block, documents, share))
+        if block.items:
+            yield sc.broadcast(block)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, share: float = 0.6, min_words: int = 8) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, min_words: int = 8) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, score, first_word, last_word.
 
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text). Words are runs of ASCII letters and digits and of any other
     characters beyond ASCII, in lower case (A-Z). score is the alignment's score (2 a match, -1 a mismatch or gap) over
     twice the item's number of words, ``least`` at least; first_word and last_word are its place in the document, the best
-    one, the first of equal ones. Items of fewer than ``min_words`` words or with null text are never found; null or empty
+    one, the first of equal ones. A copy must keep three words of the item in sequence somewhere. Items of fewer than ``min_words`` words or with null text are never found; null or empty
     texts hold none. A null doc_id or item_id is reported as null, repeated rows are reported each; other columns are
     ignored; an empty table on either side gives no rows.
     """
@@ -232,12 +231,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5
 
         return batches_of
 
-    for block in _blocks(docs, benchmark, share, min_words):
+    for block in _blocks(docs, benchmark, min_words):
         out = out.union(docs.select("doc_id", "text").mapInArrow(run(block), schema))
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, share: float = 0.6, min_words: int = 8) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, min_words: int = 8) -> DataFrame:
     """Rows of ``docs`` that hold no item of ``benchmark``, with all their columns."""
     out = docs
 
@@ -252,6 +251,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, share:
 
         return batches_of
 
-    for block in _blocks(docs, benchmark, share, min_words):
+    for block in _blocks(docs, benchmark, min_words):
         out = out.mapInArrow(run(block), docs.schema)
     return out

@@ -319,6 +319,22 @@ def test_contamination(spark, monkeypatch):
     assert sorted((str(r.doc_id), str(r.item_id)) for r in again) == found
 
 
+@pytest.mark.parametrize("n", [24, 40, 80, 120])
+@pytest.mark.parametrize("every", [4, 5])
+def test_edited_copies_keep_their_seeds(spark, n, every):
+    rng = np.random.default_rng(9)
+    item = [f"v{i}" for i in rng.permutation(400)[:n]]
+    edited = [f"z{i}" if i % every == every - 1 else w for i, w in enumerate(item)]  # 25 or 20 % replaced, in one document
+    random = [f"z{i}" if x else w for i, (w, x) in enumerate(zip(item, rng.random(n) < 0.28, strict=True))]
+    rows = [(1, "some words before it " + " ".join(edited)), (2, " ".join(random)), (3, "no item in here but " + " ".join(item[:4]))]
+    rows += [(10 + i, " ".join(item)) for i in range(3)]  # exact copies must not take the seeds of edited ones
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    scores = {i: brute_align(item, t.split()) / (2 * n) for i, t in rows}
+    got = {r.doc_id: r.score for r in decontaminate.find_contamination(docs_of(spark, rows), bench).collect()}
+    assert got == {i: x for i, x in scores.items() if x >= 0.5} and 1 in got
+    assert decontaminate.find_contamination(docs_of(spark, rows[:1]), bench).count() == 1
+
+
 # --- WARC
 
 PAGES = "page_id long, url string, html string, digest string, last long"
