@@ -403,6 +403,13 @@ def test_html_layout():
     assert r("</p></div>a<td>b</table><li>c") and r("<") == "<" and r("a < b") == "a < b"
 
 
+def test_html_raw_text_ends_where_it_does():
+    r = html_text.render
+    assert r("<title>t</title><p>İstanbul</p><style>s</STYLE><p>x</p><script>İ</Script>y") == "İstanbul\n\nx\n\ny"
+    assert r("<textarea>İ &amp; a</textarea>b") == "İ & ab"
+    assert r("a<style>b</ſtyle>c</style>d") == "ad"  # only ASCII letters fold
+
+
 @pytest.mark.parametrize("evil", ["<b>" * 30_000 + "x", "<p>" * 20_000, "<table><tr><td>" * 500, "<ul><li>" * 500, '<a b="' * 5_000, "<!--" * 5_000, "<" * 20_000, "<script>" * 3_000, "<b>" * 20_000 + "</i>" * 20_000])
 def test_html_never_fails(evil):
     assert isinstance(html_text.render(evil), str)
