@@ -410,6 +410,14 @@ def test_html_raw_text_ends_where_it_does():
     assert r("a<style>b</ſtyle>c</style>d") == "ad"  # only ASCII letters fold
 
 
+def test_html_without_end_of_head():
+    r = html_text.render
+    assert r("<html><head><title>t</title><body><p>x</p></body></html>") == "x"
+    assert r("<head><meta charset=utf-8><style>s</style><div>x</div>y") == "x\ny"
+    assert r("<head><title>t</title> \n text<p>x") == "text\n\nx" and r("<head><noscript><link><img>a</noscript>b") == "ab"
+    assert r("<head> \n<script>s</script><template><p>t</p></template></head><p>x") == "x"
+
+
 @pytest.mark.parametrize("evil", ["<b>" * 30_000 + "x", "<p>" * 20_000, "<table><tr><td>" * 500, "<ul><li>" * 500, '<a b="' * 5_000, "<!--" * 5_000, "<" * 20_000, "<script>" * 3_000, "<b>" * 20_000 + "</i>" * 20_000])
 def test_html_never_fails(evil):
     assert isinstance(html_text.render(evil), str)
