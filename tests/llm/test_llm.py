@@ -418,6 +418,17 @@ def test_html_without_end_of_head():
     assert r("<head> \n<script>s</script><template><p>t</p></template></head><p>x") == "x"
 
 
+def test_html_svg_and_math():
+    r = html_text.render
+    assert r("<p><svg class='i'/> text</p>") == r("<p><svg class=i /> text</p>") == r("<p><svg><path d='M0'/><title>t</title></svg> text</p>") == "text"
+    assert r("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> b") == "a x= 1 2 b"
+    assert r("<math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math>y <desc>z</desc>") == "xy z"
+    assert r("<svg><defs><text>no</text></defs><desc>no</desc><title/><text>a<tspan>b</tspan></text><text><![CDATA[c<d]]></text></svg>e") == "ab c<d e"
+    assert r("<svg><foreignObject><p>one<br/><div/>two</foreignObject></svg>three").split() == ["one", "two", "three"]
+    assert r("<svg><defs><g><p>out of it</p>") == "out of it" and r("<svg><text display=none>no</text></svg>x<div/>y") == "x\ny"
+    assert r("<svg><a href=x/>l</a></svg>m") == "lm" and r("<svg>" + "<g>" * 30_000 + "<text>x") == "x"
+
+
 @pytest.mark.parametrize("evil", ["<b>" * 30_000 + "x", "<p>" * 20_000, "<table><tr><td>" * 500, "<ul><li>" * 500, '<a b="' * 5_000, "<!--" * 5_000, "<" * 20_000, "<script>" * 3_000, "<b>" * 20_000 + "</i>" * 20_000])
 def test_html_never_fails(evil):
     assert isinstance(html_text.render(evil), str)
