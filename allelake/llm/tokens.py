@@ -2,7 +2,8 @@
 
 The byte-level BPE models used here cut a text into pieces by a fixed pattern and encode every piece by itself. The cut is
 made with numpy over a whole run of texts, pieces are looked up in a table, and only pieces not met before go to the
-library's model. Texts with characters outside the table, and tokenizers of any other make, go to the library as they are.
+library's model. Texts with characters outside the table or with the string of an added token such as
+``<|endoftext|>``, and tokenizers of any other make, go to the library as they are.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ def _kind(spec: dict) -> str | None:
     pre, norm, model = spec.get("pre_tokenizer") or {}, spec.get("normalizer"), spec["model"]
     if model.get("type") != "BPE" or spec.get("post_processor") and spec["post_processor"].get("type") == "TemplateProcessing":
         return None
+    if norm is not None and any(x["normalized"] for x in spec.get("added_tokens") or []):
+        return None  # they are looked for in the normalised text
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
         return KINDS[0]
     steps = [x.get("type") for x in (norm or {}).get("normalizers", [])]
@@ -52,15 +55,15 @@ def _kind(spec: dict) -> str | None:
 
 
 class Encoder:
-    """Token ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)`` with special tokens' strings taken as text."""
+    """Token ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)`` of the tokenizer as its file loads."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.kind = _kind(json.load(f))
+            spec = json.load(f)
+        self.kind, self.added = _kind(spec), [x["content"].encode() for x in spec.get("added_tokens") or [] if x["content"]]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self._tables()
         self._clear()
@@ -177,9 +180,9 @@ class Encoder:
         first = heads[offsets]
         kinds = self.classes[np.minimum(x, len(self.classes) - 1)]
         bad = np.flatnonzero(kinds == UNSAFE)
-        if not len(bad):
+        odd = np.union1d(np.searchsorted(first, bad, "right") - 1, np.searchsorted(offsets, self._added_at(data), "right") - 1).astype(np.int64)
+        if not len(odd):
             return self._safe(text, x, kinds, first)
-        odd = np.unique(np.searchsorted(first, bad, "right") - 1)
         parts, bounds, at = [], [np.zeros(1, np.int64)], 0
         edges = [0, *sorted({*odd.tolist(), *(odd + 1).tolist()}), len(first) - 1]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -192,6 +195,16 @@ class Encoder:
             at += len(ids)
         return np.concatenate(parts), np.concatenate(bounds)
 
+    def _added_at(self, data: bytes) -> list[int]:
+        """Where strings of added tokens are (some may cross texts: those texts are then encoded whole to no harm)."""
+        found = []
+        for x in self.added:
+            at = data.find(x)
+            while at >= 0:
+                found.append(at)
+                at = data.find(x, at + 1)
+        return found
+
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         return np.array([i for x in lists for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)

@@ -130,6 +130,22 @@ def test_encoder_equals_library(spark, name):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == expected
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_in_texts(spark, name):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_file(name))
+    texts = ["a <|endoftext|> hi", "", "plain", "<|endoftext|><|startoftext|>", "<|endof", "text|>", "日本 <|endoftext|>", "<|ENDOFTEXT|>", *ODD]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(x.encode()) for x in texts])])
+    ids, bounds = Encoder(tokenizer_file(name)).encode(raw, off)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert t.token_to_id("<|endoftext|>") in ids.tolist()
+    own = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    out = huffman.token_round_trip(docs_of(spark, list(enumerate(texts))), tokenizer_file(name), end_id=2).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in out] == [(len(x), crc(x)) for x in own]
+
+
 def all_ids(rows, name, end):
     t = Encoder(tokenizer_file(name)).tokenizer
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for _, x in rows]
