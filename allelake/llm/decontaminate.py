@@ -11,6 +11,8 @@ nothing of the corpus is shuffled.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,11 +31,56 @@ MATCH, MISMATCH, GAP = 2, 1, 1
 #: Pairs of a seed in a text and one in an item that are worked on at once.
 PAIRS = 1 << 20
 _FILTER_BITS = 22
+#: Scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, bopomofo, Han, Yi and extensions).
+NO_SPACES = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x323AF)]
+BREAK, PART, ALONE = 0, 1, 2
+
+
+@functools.lru_cache(maxsize=1)
+def _roles() -> np.ndarray:
+    """Whether each character cuts words, is part of one, or is one by itself; the last entry is for those beyond."""
+    size = 0x32400
+    role = np.full(size + 1, PART, np.uint8)
+    for lo, hi in NO_SPACES:
+        role[lo : hi + 1] = ALONE
+    for i in range(128, size):
+        kind = unicodedata.category(chr(i))
+        if kind[0] in "ZP" or kind == "Cc":
+            role[i] = BREAK
+    role[[0x200B, 0xFEFF]] = BREAK  # spaces of no width
+    return role
+
+
+def _spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``H.spans`` of words cut at Unicode white space and punctuation; a character of a script without spaces is a word."""
+    heads = np.flatnonzero(raw >= 0xC2)
+    if not len(heads):
+        return H.spans(raw, off, H.ALNUM_WORDS)
+    more = np.append(raw, np.zeros(3, np.uint8))
+    a, b, c, d = (more[heads + i].astype(np.int64) & (0x3F if i else 0xFF) for i in range(4))
+    n = 2 + (a >= 0xE0) + (a >= 0xF0)
+    code = np.select([n == 2, n == 3], [(a & 0x1F) << 6 | b, (a & 0xF) << 12 | b << 6 | c], (a & 7) << 18 | b << 12 | c << 6 | d)
+    role = _roles()[np.minimum(code, len(_roles()) - 1)]
+    inside = H.ALNUM_WORDS[raw]
+    for i in range(4):
+        gone = heads[(role == BREAK) & (i < n)] + i
+        inside[gone[gone < len(raw)]] = False
+    cut = np.zeros(len(raw) + 1, bool)  # no word goes on across these
+    cut[off] = True
+    single = role == ALONE
+    cut[heads[single]] = True
+    cut[np.minimum((heads + n)[single], len(raw))] = True
+    starts = np.flatnonzero(inside & (cut[:-1] | ~np.concatenate([[False], inside[:-1]])))
+    ends = np.flatnonzero(inside & (cut[1:] | ~np.append(inside[1:], False))) + 1
+    return starts, ends, np.searchsorted(starts, off)
 
 
 @dataclass
 class Block:
-    """Items of a block: word hashes end to end, and trigrams sorted by hash (equal ones adjacent)."""
+    """Items of a block: word hashes end to end, and trigrams sorted by hash (equal ones adjacent).
+
+    ``short`` has, by number of words, sorted hashes of the items that are found as whole word sequences alone, and the items.
+    """
 
     items: list
     words: np.ndarray
@@ -41,6 +88,7 @@ class Block:
     gram: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     def index(self) -> None:
         self.unique, self.begin = np.unique(self.gram, return_index=True)
@@ -59,7 +107,7 @@ class Block:
 
 
 def _text_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, first = H.spans(raw, off, H.ALNUM_WORDS)
+    starts, ends, first = _spans(raw, off)
     return H.word_hashes(raw, starts, ends, H.byte_values(lower=True)), first
 
 
@@ -72,22 +120,30 @@ def _text_grams(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _block(rows: list, min_words: int) -> Block:
-    """A block of (item_id, text) rows; items of fewer than ``min_words`` words are left out."""
+    """A block of (item_id, text) rows; items of fewer than ``min_words`` words are in ``short``."""
     rows = sorted((r for r in rows if r[1]), key=lambda r: (str(r[0]), r[1]))
     items, words, lengths = [], [], []
     for name, text in rows:
         raw = np.frombuffer(text.encode(), np.uint8)
         w, _ = _text_words(raw, np.array([0, len(raw)]))
-        if len(w) >= max(GRAM, min_words):
+        if len(w):
             items.append(name)
             words.append(w)
             lengths.append(len(w))
     first = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     flat = np.concatenate([np.zeros(0, U), *words])
     grams, item = _text_grams(flat, first)
+    sizes, short = np.diff(first), {}
+    least = max(GRAM, min_words)
+    for n in np.unique(sizes[sizes < least]).tolist():
+        which = np.flatnonzero(sizes == n)
+        hashes = np.array([H.sequence_hashes(flat[first[i] : first[i] + n], n)[0] for i in which], U)
+        order = np.argsort(hashes, kind="stable")
+        short[n] = hashes[order], which[order]
     here = np.flatnonzero(item >= 0)
+    here = here[sizes[item[here]] >= least]
     here = here[np.argsort(grams[here], kind="stable")]
-    block = Block(items, flat, first, grams[here], item[here], here - first[item[here]])
+    block = Block(items, flat, first, grams[here], item[here], here - first[item[here]], short)
     block.index()
     return block
 
@@ -161,6 +217,25 @@ def _may_reach(block: Block, words: np.ndarray, item: np.ndarray, lo: np.ndarray
 
 def _matches(block: Block, words: np.ndarray, first: np.ndarray, least: float):
     """(text, item, score, first word, last word) of the items found in each text, the best place of each."""
+    return sorted(_short_matches(block, words, first) + _long_matches(block, words, first, least))
+
+
+def _short_matches(block: Block, words: np.ndarray, first: np.ndarray) -> list:
+    """Items of few words that are in a text as they are, the first place of each."""
+    text, out = np.repeat(np.arange(len(first) - 1), np.diff(first)), []
+    for n, (hashes, items) in block.short.items():
+        h = H.sequence_hashes(words, n)
+        low = np.searchsorted(hashes, h)
+        at = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h)
+        at = at[text[at] == text[at + n - 1]]
+        _, head = np.unique(text[at].astype(np.int64) * len(hashes) + low[at], return_index=True)
+        for i in at[head].tolist():
+            t, high = int(text[i]), int(np.searchsorted(hashes, h[i], "right"))
+            out += [(t, j, 1.0, int(i - first[t]), int(i - first[t]) + n - 1) for j in items[low[i] : high].tolist()]
+    return out
+
+
+def _long_matches(block: Block, words: np.ndarray, first: np.ndarray, least: float) -> list:
     grams, text = _text_grams(words, first)
     at, which = block.find(grams)
     at, which = at[text[at] >= 0], which[text[at] >= 0]
@@ -209,9 +284,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5
     """One row per document and benchmark item found in it: doc_id, item_id, score, first_word, last_word.
 
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text). Words are runs of ASCII letters and digits and of any other
-    characters beyond ASCII, in lower case (A-Z). score is the alignment's score (2 a match, -1 a mismatch or gap) over
+    characters beyond ASCII but white space and punctuation, in lower case (A-Z); in scripts without spaces each character
+    is one. score is the alignment's score (2 a match, -1 a mismatch or gap) over
     twice the item's number of words, ``least`` at least; first_word and last_word are its place in the document, the best
-    one, the first of equal ones. A copy must keep three words of the item in sequence somewhere. Items of fewer than ``min_words`` words or with null text are never found; null or empty
+    one, the first of equal ones. A copy must keep three words of the item in sequence somewhere. Items of
+    fewer than ``min_words`` words are found as whole word sequences alone, without any edit; those without words or with
+    null text are never found; null or empty
     texts hold none. A null doc_id or item_id is reported as null, repeated rows are reported each; other columns are
     ignored; an empty table on either side gives no rows.
     """

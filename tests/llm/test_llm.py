@@ -351,6 +351,19 @@ def test_edited_copies_keep_their_seeds(spark, n, every):
     assert decontaminate.find_contamination(docs_of(spark, rows[:1]), bench).count() == 1
 
 
+def test_short_items_and_words_of_any_script(spark):
+    han, thai = "机器学习模型的训练数据不能包含测试题目", "ข้อมูลทดสอบต้องไม่อยู่ในชุดฝึก"
+    latin = " ".join(f"w{i}" for i in range(20))
+    items = [(1, "What is the capital of France?"), (2, han), (3, thai), (4, latin), (5, "日本"), (6, "yes"), (7, "?!"), (8, "What is the capital of France?")]
+    rows = [(1, "x. What is the\u00a0capital of “France” then, what is the capital of France"), (2, "what is the capital city of France"), (3, f"前文{han}。后文"), (4, f"ก {thai} ข")]
+    rows += [(5, latin.replace(" ", "\u3000")), (6, "—".join(f"“w{i}”" for i in range(20))), (7, "在日本語"), (8, "yesterday"), (9, "Yes"), (10, "日 x 本"), (11, "…"), (12, "what is the capital of"), (13, "France")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_contamination(docs_of(spark, rows).coalesce(1), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (1, 8), (3, 2), (4, 3), (5, 4), (6, 4), (7, 5), (9, 6)]
+    assert all(r.score == 1.0 for r in got) and next((r.first_word, r.last_word) for r in got if r.doc_id == 1) == (1, 6)
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs_of(spark, rows), bench).collect()) == [2, 8, 10, 11, 12, 13]
+
+
 # --- WARC
 
 PAGES = "page_id long, url string, html string, digest string, last long"
