@@ -6,6 +6,7 @@ Every stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from allelake.llm.common import stage, work_dir
 from allelake.llm.decontaminate import keep_clean
@@ -27,14 +28,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest doc_id.
+    """One row of each group of near copies, the one of the smallest doc_id (null ones last; one of those that repeat it).
 
     Groups are components of links between documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at
-    least. Documents without words, or without a doc_id, are in no group and stay.
+    least. Every row is a document of its own here, whether its doc_id is null, repeated or neither. Documents without words
+    are in no group and stay.
     """
-    groups = jaccard_components(docs, k=5, percent=80, name="pipeline-jaccard")
-    drop = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    rows = docs.select(F.monotonically_increasing_id().alias("id"), F.struct("*").alias("row"))
+    rows = stage(rows, work_dir(spark, "pipeline-rows"))
+    groups = jaccard_components(rows.select(F.col("id").alias("doc_id"), "row.text"), k=5, percent=80, name="pipeline-jaccard")
+    groups = groups.select(F.col("doc_id").alias("id"), "component_id")
+    order = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), "id")
+    kept = rows.select("id", order.alias("place")).join(groups, "id").groupBy("component_id").agg(F.min("place").alias("place"))
+    return rows.join(kept.select("place.id"), "id", "left_semi").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

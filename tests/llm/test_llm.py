@@ -550,6 +550,17 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in c.STAGES] == ["language_id", "quality", "near_duplicates", "decontaminate", "pack"] and all(seen)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline as c
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, one), (2, one), (2, two), (3, three), (3, three), (4, three), (None, two + " x"), (None, "null " + one[::-1]), (None, "null " + one[::-1]), (5, None), (5, None), (6, "")]
+    got = c.near_duplicates(spark, docs_of(spark, rows).repartition(3), D)
+    assert got.columns == docs_of(spark, rows).columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(1, one), (2, two), (3, three), (None, "null " + one[::-1]), (5, None), (5, None), (6, "")]))
+    assert c.near_duplicates(spark, docs_of(spark, []), D).count() == 0
+
+
 def test_queries_equal_sql(spark):
     import glob
     import os
