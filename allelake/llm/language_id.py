@@ -188,13 +188,19 @@ def identify_languages(docs: DataFrame, folds: int = 4, held_out_fold: int = 2)
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose language can be told, with all their columns; rows keep their own lang."""
+    """Rows of ``docs`` whose language can be told, with all their columns; rows keep their own lang.
+
+    If no language can be learned (no row outside the held-out fold has a lang and a text), all texts with a letter stay.
+    """
     fold = remainder_of_crc32("doc_id", 4)
     langs, logs = train(docs.where(fold != 2).select("text", "lang"))
     table = docs.sparkSession.sparkContext.broadcast(logs)
 
     def keep(batches):
         for batch in batches:
+            if not langs:
+                yield batch.filter(pa.array([_has_letter(raw[a:b]) for _, _, raw, off in chunks(batch.column("text")) for a, b in zip(off[:-1], off[1:], strict=True)], pa.bool_()))
+                continue
             found = [x for out in _predict(langs, table)([batch.select(["text"])]) for x in out.column("lang_pred").to_pylist()]
             yield batch.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
 

@@ -561,6 +561,14 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert c.near_duplicates(spark, docs_of(spark, []), D).count() == 0
 
 
+def test_language_filter_without_languages(spark):
+    rows = [(1, "some text"), (2, "日本"), (3, None), (4, ""), (5, "12 … !"), (None, "no id"), (6, "… é")]
+    docs = docs_of(spark, rows).withColumn("lang", F.lit(None).cast("string"))
+    assert [r.text for r in language_id.keep_known(docs).collect()] == ["some text", "日本", "no id", "… é"]
+    held_out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    assert language_id.keep_known(docs_of(spark, [(held_out, "some text"), (held_out, "...")])).count() == 1
+
+
 def test_queries_equal_sql(spark):
     import glob
     import os
