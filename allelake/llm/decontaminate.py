@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelake.llm import hashing as H
-from allelake.llm.common import chunks
+from allelake.llm.common import chunks, mapped
 
 U = np.uint64
 GRAM = 3
@@ -310,7 +310,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5
         return batches_of
 
     for block in _blocks(docs, benchmark, min_words):
-        out = out.union(docs.select("doc_id", "text").mapInArrow(run(block), schema))
+        out = out.union(docs.select("doc_id", "text").transform(mapped(run(block), schema)))
     return out
 
 
@@ -330,5 +330,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, min_wo
         return batches_of
 
     for block in _blocks(docs, benchmark, min_words):
-        out = out.mapInArrow(run(block), docs.schema)
+        out = out.transform(mapped(run(block), docs.schema))
     return out

@@ -10,7 +10,9 @@ import numpy as np
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+#: Powers for runs of up to this many bytes are kept (8 MB); those for longer ones are made anew.
+_KEPT_POWERS = 1 << 19
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -22,15 +24,19 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, U)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
+    if n > _KEPT_POWERS:
+        return _powers_of(_BASE, n), _powers_of(_INVERSE, n)
+    if not _powers:
+        _powers.extend(_powers_of(base, _KEPT_POWERS) for base in (_BASE, _INVERSE))
     return _powers[0][:n], _powers[1][:n]
 
 
+def _powers_of(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, U)
+    p[0] = 1
+    return np.multiply.accumulate(p, out=p)
+
+
 def byte_values(lower: bool) -> np.ndarray:
     """A random 64-bit value for each byte; with ``lower`` A-Z count as a-z."""
     v = mix(np.arange(1, 257, dtype=U), 77)

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from allelake.llm import hashing as H
-from allelake.llm.common import filesystem, stage, work_dir
+from allelake.llm.common import bound_batches, filesystem, kept, stage, work_dir
 
 #: Nodes of a shard, links of a node, candidates for them, nodes kept during a search, queries of a block.
 SHARD_NODES, LINKS, CANDIDATES, BEAM, QUERY_BLOCK = 16_384, 16, 48, 160, 256

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from allelake.llm.common import filesystem, stage, work_dir
+from allelake.llm.common import filesystem, mapped, stage, work_dir
 from allelake.llm.tokens import encoded
 
 #: Longest code, ids of a block, ids between checkpoints, partitions whose counts are added at once.
@@ -286,7 +286,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     """
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    raw = stage(ordered.mapInArrow(_write_raw(tokenizer, end_id, f"{folder}-raw"), MANIFEST), f"{folder}-parts")
+    raw = stage(ordered.transform(mapped(_write_raw(tokenizer, end_id, f"{folder}/raw"), MANIFEST, owner="tokens")), f"{folder}/parts")
     lengths = code_lengths(_total_counts(raw), max_length)
     _put(spark, f"{folder}/codebook", zlib.compress(lengths.tobytes()))
     parts, begin, rows = raw.select("part", "path", "n_tokens").orderBy("part").collect(), 0, []
@@ -295,7 +295,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         begin += r["n_tokens"]
     todo = _spread(spark, rows, "path string, begin long")
     book = spark.sparkContext.broadcast(lengths)  # one byte for each id of the vocabulary
-    return stage(todo.mapInArrow(lambda batches: _write_coded(folder, book.value)(batches), "path string, begin long, bytes long"), f"{folder}-files")
+    return stage(todo.transform(mapped(lambda batches: _write_coded(folder, book.value)(batches), "path string, begin long, bytes long")), f"{folder}/files")
 
 
 def _spread(spark: SparkSession, rows: list, schema: str) -> DataFrame:
@@ -318,7 +318,7 @@ def _put(spark: SparkSession, path: str, data: bytes) -> None:
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """Decode a data set: doc_id, start (ids before it), n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids)."""
     spread = files.select("path").repartition(max(1, files.count()), "path")
-    return spread.mapInArrow(_read_coded(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.transform(mapped(_read_coded(folder), "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, name: str = "tokens") -> DataFrame:

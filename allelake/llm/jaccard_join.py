@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelake.llm import hashing as H
-from allelake.llm.common import chunks, stage, work_dir
+from allelake.llm.common import chunks, mapped, stage, work_dir
 from allelake.llm.components import connected_components
 
 U = np.uint64
@@ -268,7 +268,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, name: str
     """
     spark, path = docs.sparkSession, work_dir(docs.sparkSession, name)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = stage(docs.mapInArrow(_fingerprint_batches(k), "doc_id long, n long, f1 long, f2 long, sketch binary"), f"{path}/prints")
+    prints = stage(docs.transform(mapped(_fingerprint_batches(k), "doc_id long, n long, f1 long, f2 long, sketch binary")), f"{path}/prints")
     known = prints.where("doc_id is not null and n > 0")
     # Classes are staged: a join with a plain table lets Spark split a class that holds a large share of all rows.
     classes = stage(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")), f"{path}/classes")
@@ -280,8 +280,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, name: str
 
     # Buckets: one shuffle of the segment keys; buckets of one document never leave their task.
     whole = docs.where("doc_id is not null")
-    keys = whole.mapInArrow(_key_batches(k, percent), "key long, doc_id long")
-    buckets = keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_bucket_batches, "key long, pivot long, doc_id long")
+    keys = whole.transform(mapped(_key_batches(k, percent), "key long, doc_id long"))
+    buckets = keys.repartition("key").sortWithinPartitions("key", "doc_id").transform(mapped(_bucket_batches, "key long, pivot long, doc_id long"))
     buckets = stage(buckets, f"{path}/raw_buckets")
     node_of = members.select("doc_id", "node").distinct()
     named = (
@@ -306,14 +306,14 @@ def _links(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent:
     """Those of the candidate ``pairs`` (a < b) that link: sizes, then Hamming distances of sketches, then whole sets."""
     side = lambda x: heads.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    near = stage(near.mapInArrow(_sketch_test(percent), "a long, b long").distinct(), f"{path}_near")
-    wanted = stage(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), f"{path}_wanted")
+    near = stage(near.transform(mapped(_sketch_test(percent), "a long, b long")).distinct(), f"{path}/near")
+    wanted = stage(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), f"{path}/wanted")
     small = wanted.count() * 8 <= BROADCAST_BYTES
     texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_set_batches(k), "node long, f1 long, f2 long, tokens binary")
-    sets = stage(sets.join(heads.select("node", "f1", "f2"), ["node", "f1", "f2"]).dropDuplicates(["node", "f1", "f2"]).select("node", "tokens"), f"{path}_sets")
+    sets = texts.transform(mapped(_set_batches(k), "node long, f1 long, f2 long, tokens binary"))
+    sets = stage(sets.join(heads.select("node", "f1", "f2"), ["node", "f1", "f2"]).dropDuplicates(["node", "f1", "f2"]).select("node", "tokens"), f"{path}/sets")
     both = near.join(sets.withColumnRenamed("node", "b").withColumnRenamed("tokens", "tb"), "b").join(sets.withColumnRenamed("node", "a").withColumnRenamed("tokens", "ta"), "a")
-    return both.mapInArrow(_verify(percent), "a long, b long").distinct()
+    return both.transform(mapped(_verify(percent), "a long, b long")).distinct()
 
 
 def _unresolved(named: DataFrame, components: DataFrame, heads: DataFrame, percent: int, path: str) -> DataFrame:

@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelake.llm import hashing as H
-from allelake.llm.common import CHUNK_BYTES, chunks, remainder_of_crc32
+from allelake.llm.common import chunks, mapped, remainder_of_crc32
 
 ORDERS, BUCKETS = (2, 3, 4), 1 << 16
 #: Numbers kept for each language: this bounds what goes to the driver and back (2.4 MB a language in memory).
 CELLS = len(ORDERS) * BUCKETS
 ROUNDS = 25
+#: Bytes of text counted, and predicted, at once (fewer for more than 8 languages).
+COUNT_BYTES, RUN_BYTES = 1 << 19, 1 << 17
 UNKNOWN = "und"
 _LETTERS = H.separators([b for b in range(128) if not chr(b).isalpha()])
 
@@ -57,7 +59,7 @@ def _count(batches):
     tables: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column("lang").to_pylist()
-        for lo, hi, raw, off in chunks(batch.column("text")):
+        for lo, hi, raw, off in chunks(batch.column("text"), COUNT_BYTES):
             names = sorted(set(langs[lo:hi]))
             of_text = np.array([names.index(v) for v in langs[lo:hi]])
             text = np.repeat(of_text, np.diff(off))
@@ -72,7 +74,7 @@ def _count(batches):
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their n-gram log-likelihoods (cells x languages), counted over all of ``docs`` (text, lang)."""
-    rows = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_count, "lang string, cells array<int>, counts array<long>")
+    rows = docs.where("lang is not null and text is not null").select("lang", "text").transform(mapped(_count, "lang string, cells array<int>, counts array<long>"))
     sums = rows.select("lang", F.explode(F.arrays_zip("cells", "counts")).alias("x")).groupBy("lang", F.col("x.cells").alias("cell")).agg(F.sum("x.counts").alias("n"))
     got = sums.toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
@@ -149,7 +151,7 @@ def _has_letter(raw: np.ndarray) -> bool:
 def _predict(langs: list[str], logs: Broadcast):
     def run(batches):
         table = logs.value
-        most = max(1 << 16, CHUNK_BYTES * 8 // max(8, len(langs)))
+        most = max(1 << 15, RUN_BYTES * 8 // max(8, len(langs)))
         for batch in batches:
             for lo, hi, raw, off in chunks(batch.column("text"), most):
                 found = infer(raw, off, table)
@@ -184,7 +186,7 @@ def identify_languages(docs: DataFrame, folds: int = 4, held_out_fold: int = 2)
     table = docs.sparkSession.sparkContext.broadcast(logs)  # CELLS float32 values for each language
     rows = docs.select("doc_id", F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_predict(langs, table), f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>")
+    return rows.transform(mapped(_predict(langs, table), f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>"))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
@@ -204,4 +206,4 @@ def keep_known(docs: DataFrame) -> DataFrame:
             found = [x for out in _predict(langs, table)([batch.select(["text"])]) for x in out.column("lang_pred").to_pylist()]
             yield batch.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.transform(mapped(keep, docs.schema))

@@ -14,12 +14,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelake.llm.common import stage, work_dir
+from allelake.llm.common import mapped, stage, work_dir
 from allelake.llm.tokens import encoded
 
 SHARD_PIECES = 32_768
@@ -80,10 +79,10 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
 
 
 def _pack_shard(capacity, weights, rule):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
-        bins, offsets = best_fit(pdf["length"].to_numpy(), capacity, weights, rule)
-        return pdf.drop(columns="shard").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.drop_columns("shard").sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        bins, offsets = best_fit(table.column("length").to_numpy(), capacity, weights, rule)
+        return table.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
     return run
 
@@ -95,22 +94,28 @@ def pack_documents(
     """One row per piece of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     A document's ids end with ``end_id``; only documents longer than ``max_tokens`` are cut, into pieces of that size and a
-    rest. ``max_documents`` and ``max_attention`` default to values that never bind before the tokens do. A piece whose
-    squared length alone is over ``max_attention`` can't be placed: that is an error. A null text is an empty one, whose
-    only id is ``end_id``. Rows with a null or repeated doc_id are packed like any other; other columns are ignored; an
-    empty table gives no rows. Ties are broken by doc_id, piece and ids, so the result doesn't depend on partitions.
+    rest. ``max_documents`` and ``max_attention`` default to values that never bind before the tokens do; every capacity
+    holds in every sequence. A piece whose squared length alone is over ``max_attention`` can't be placed: a ValueError, as
+    are capacities below 1. A null text is an empty one, whose only id is ``end_id``. Rows with a null or repeated doc_id are
+    packed like any other (a row that repeats any number of times is dealt to all shards); other columns are ignored; an
+    empty table gives no rows. Within a shard, ties are broken by doc_id, piece and ids.
     """
-    capacity = (max_tokens, max_documents or max_tokens, max_attention or max_tokens**2)
-    if min(capacity) < 1 or max_tokens**2 > capacity[2]:
-        raise ValueError("a full piece must fit in an empty sequence under every capacity")
+    capacity = tuple(value if x is None else x for x, value in ((max_tokens, 0), (max_documents, max_tokens), (max_attention, max_tokens**2)))
+    if min(capacity) < 1:
+        raise ValueError("capacities must be 1 at least")
     path = work_dir(docs.sparkSession, name)
     schema = PIECE + (", ids array<long>" if with_ids else "")
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, end_id, max_tokens, with_ids), schema)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped(_pieces(tokenizer, end_id, max_tokens, with_ids), schema, owner="tokens"))
     pieces = stage(pieces, f"{path}/pieces")
-    shards = max(1, -(-pieces.count() // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    count, longest = pieces.agg(F.count("*"), F.max("length")).first()
+    if (longest or 0) ** 2 > capacity[2]:
+        raise ValueError(f"a piece of {longest} tokens doesn't fit in an empty sequence of attention cost {capacity[2]}")
+    shards = max(1, -(-count // shard_pieces))
+    # The row's number spreads rows that repeat; it is that of the staged table, so a task that runs again deals alike.
+    place = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    dealt = pieces.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int"))
     light = dealt.drop("ids")
-    packed = light.groupBy("shard").applyInPandas(_pack_shard(capacity, weights, rule), PIECE + ", sequence_id long, offset long")
+    packed = light.groupBy("shard").applyInArrow(_pack_shard(capacity, weights, rule), PIECE + ", sequence_id long, offset long")
     if not with_ids:
         return packed
     ids = pieces.select(F.col("doc_id").alias("_doc"), F.col("piece").alias("_piece"), F.col("ids_crc32").alias("_crc"), "ids").dropDuplicates(["_doc", "_piece", "_crc"])

@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelake.llm import hashing as H
-from allelake.llm.common import chunks, remainder_of_crc32
+from allelake.llm.common import chunks, mapped, remainder_of_crc32
 
 WORDS, HASHED, HIDDEN = 64, 128, 16
-#: The fit takes at most this many labelled documents (the first in order of a hash of doc_id), of at most so many bytes each.
-SAMPLE, SAMPLE_BYTES = 4_000, 1 << 18
+#: The fit takes a bounded sample of labelled documents, in order of a hash of doc_id: at most this many, and of texts whose
+#: bytes together are at most these (one that no longer fits is left out). This bounds what goes to the driver (85 MB).
+SAMPLE, SAMPLE_BYTES = 4_000, 32 << 20
 #: First byte of each byte class - controls, space, signs, digits, signs, capitals, signs, small letters, signs, other characters.
 CLASS_STARTS = [0, 32, 33, 48, 58, 65, 91, 97, 123, 128]
 _CLASS = np.searchsorted(CLASS_STARTS, np.arange(256), "right") - 1
@@ -119,14 +120,25 @@ def _encode(batches):
             )
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
-    """Weights learned from labels of rows outside the held-out fold; None without any label."""
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> dict[str, np.ndarray] | None:
+    """Weights learned from labels of rows outside the held-out fold; None without any label.
+
+    The fit takes at most ``sample`` labelled documents of at most ``sample_bytes`` bytes of text together, whole ones. Of
+    several texts with one doc_id the shortest counts (of equal lengths, the one of the smallest hash).
+    """
     known = labels.where("doc_id is not null and quality is not null").where(remainder_of_crc32("doc_id", folds) != held_out_fold).select("doc_id", F.col("quality").alias("y"))
     known = known.groupBy("doc_id").agg(F.avg("y").alias("y"))
-    chosen = known.join(docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = texts.select("y", "text").mapInArrow(_encode, "y double, h binary").toArrow()
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("h")).alias("mark"))
+    marks = texts.groupBy("doc_id").agg(F.min("mark").alias("mark")).join(known, "doc_id")
+    some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # at most ``sample`` rows of four numbers
+    chosen, room = [], sample_bytes
+    for r in some:
+        if r["mark"]["n"] <= room:
+            room -= r["mark"]["n"]
+            chosen.append((r["doc_id"], r["mark"], r["y"]))
+    chosen = docs.sparkSession.createDataFrame(chosen, marks.select("doc_id", "mark", "y").schema)
+    texts = texts.join(F.broadcast(chosen), ["doc_id", "mark"]).dropDuplicates(["doc_id"])
+    got = texts.select("y", "text").transform(mapped(_encode, "y double, h binary")).toArrow()
     if not got.num_rows:
         return None
     bags = [np.frombuffer(x, np.float32).reshape(-1, DIM) for x in got.column("h").to_pylist()]
@@ -162,7 +174,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_f
 
     fold = F.coalesce(remainder_of_crc32("doc_id", folds) == held_out_fold, F.lit(False))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", fold.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", fold.alias("held_out"), "text").transform(mapped(run, f"doc_id {kind}, held_out boolean, score double, predicted int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -173,4 +185,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
         for batch in batches:
             yield batch.filter(pa.array(scores(weights.value, batch.column("text")) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped(run, docs.schema))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 from allelake.llm import hashing as H
-from allelake.llm.common import chunks
+from allelake.llm.common import chunks, kept
 
 U = np.uint64
 SPACE, LETTER, NUMBER, OTHER, UNSAFE = range(5)
@@ -27,8 +27,8 @@ WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x
 SUFFIXES = ["s", "t", "re", "ve", "m", "ll", "d"]
 #: The two kinds of tokenizer whose pieces are cut here.
 KINDS = ("space before the word", "words only, lower case")
-_SLOTS = 1 << 20
-_MOST_PIECES = 1_000_000
+#: Bounds of what an encoder keeps between runs of texts: pieces and ids of pieces (44 MB with the table that finds them).
+_MOST_PIECES, _MOST_IDS = 1 << 20, 1 << 22
 
 
 def _byte_letters() -> dict[int, str]:
@@ -38,6 +38,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(free)) for b in range(256)}
 
 
+def _room(x: np.ndarray, size: int) -> np.ndarray:
+    """``x``, made longer if it has fewer than ``size`` places."""
+    return x if size <= len(x) else np.concatenate([x, np.zeros(max(size, len(x) * 3 // 2) - len(x), x.dtype)])
+
+
 def _kind(spec: dict) -> str | None:
     pre, norm, model = spec.get("pre_tokenizer") or {}, spec.get("normalizer"), spec["model"]
     if model.get("type") != "BPE" or spec.get("post_processor") and spec["post_processor"].get("type") == "TemplateProcessing":
@@ -85,22 +90,51 @@ class Encoder:
         self.values = H.mix(np.arange(1, size + 2, dtype=U), 55)
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.length, self.pieces = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
-        self.slot_key, self.slot_piece = np.zeros(_SLOTS, U), np.zeros(_SLOTS, np.int32)
-
-    def _add(self, piece: str) -> int:
-        ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in piece.encode()]))]
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), np.uint32)])
-        if self.pieces == len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[self.pieces], self.length[self.pieces] = self.used, len(ids)
-        self.used += len(ids)
-        self.pieces += 1
-        return self.pieces - 1
+        self.begin, self.pieces = np.zeros(1 << 12, np.int32), 0  # piece i has the ids from begin[i] to begin[i + 1]
+        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.slot_key, self.slot_piece = np.zeros(1 << 14, U), np.zeros(1 << 14, np.int32)  # open addressing; key 0: free
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of the piece of each key, -1 for one not met."""
+        out, mask = np.full(len(keys), -1, np.int64), len(self.slot_key) - 1
+        slot, todo = (keys & U(mask)).astype(np.int64), np.arange(len(keys))
+        while len(todo):
+            held = self.slot_key[slot[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.slot_piece[slot[todo[hit]]]
+            todo = todo[~hit & (held != 0)]
+            slot[todo] = (slot[todo] + 1) & mask
+        return out
+
+    def _place(self, keys: np.ndarray, pieces: np.ndarray) -> None:
+        """Enter keys that are different and not in the table."""
+        mask = len(self.slot_key) - 1
+        slot, todo = (keys & U(mask)).astype(np.int64), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slot_key[slot[todo]] == 0]
+            at, first = np.unique(slot[free], return_index=True)
+            self.slot_key[at], self.slot_piece[at] = keys[free[first]], pieces[free[first]]
+            todo = todo[self.slot_key[slot[todo]] != keys[todo]]
+            slot[todo] = (slot[todo] + 1) & mask
+
+    def _add(self, keys: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Encode new pieces by the library's model; gives their numbers."""
+        ids = [[t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))] for p in pieces]
+        ends = self.used + np.cumsum([len(x) for x in ids])
+        flat = [i for x in ids for i in x]
+        numbers = np.arange(self.pieces, self.pieces + len(ids))
+        self.flat = _room(self.flat, self.used + len(flat))
+        self.begin = _room(self.begin, self.pieces + len(ids) + 1)
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.begin[numbers + 1] = ends
+        self.used, self.pieces = self.used + len(flat), self.pieces + len(ids)
+        if 2 * self.pieces > len(self.slot_key):
+            old_keys, old = self.slot_key[self.slot_key != 0], self.slot_piece[self.slot_key != 0]
+            size = 1 << (3 * self.pieces).bit_length()
+            self.slot_key, self.slot_piece = np.zeros(size, U), np.zeros(size, np.int32)
+            self._place(old_keys, old)
+        self._place(keys, numbers)
+        return numbers
 
     def _cut(self, x: np.ndarray, kinds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces of the characters ``x``; texts begin at ``first``."""
@@ -143,30 +177,21 @@ class Encoder:
             x = self.lower[x]
             text = x.astype("<u4").tobytes().decode("utf-32-le")
         starts, ends = self._cut(x, kinds, first[:-1][first[:-1] < len(x)])
-        h = H.word_hashes(x, starts, ends, self.values)
-        slot = (h & U(_SLOTS - 1)).astype(np.int64)
-        piece = self.slot_piece[slot].astype(np.int64)
-        miss = np.flatnonzero(self.slot_key[slot] != h)
+        h = np.maximum(H.word_hashes(x, starts, ends, self.values), U(1))
+        piece = self._find(h)
+        miss = np.flatnonzero(piece < 0)
         if len(miss):
             different, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            if self.pieces + len(different) > _MOST_PIECES:
-                self._clear()
-                piece[:] = -1
+            if self.pieces and (self.pieces + len(different) > _MOST_PIECES or self.used > _MOST_IDS):
+                self._clear()  # a cleared table costs time alone
                 return self._safe(text, x, kinds, first)
-            found = []
-            for key, i in zip(different.tolist(), miss[where].tolist(), strict=True):
-                j = self.known.get(key)
-                if j is None:
-                    j = self.known[key] = self._add(text[starts[i] : ends[i]])
-                found.append(j)
-            found = np.array(found, np.int64)
-            piece[miss] = found[back]
-            s = (different & U(_SLOTS - 1)).astype(np.int64)
-            self.slot_key[s], self.slot_piece[s] = different, found
-            # two of them may share a slot: the last one stays, keys and pieces are written in the same order
-        lengths = self.length[piece]
+            at = miss[where]
+            new = [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            piece[miss] = self._add(different, new)[back]
+        begin = self.begin[piece].astype(np.int64)
+        lengths = self.begin[piece + 1] - begin
         total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.start[piece] - total[:-1], lengths) + np.arange(total[-1])]
+        ids = self.flat[np.repeat(begin - total[:-1], lengths) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, first)]
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,12 +235,15 @@ class Encoder:
         return np.array([i for x in lists for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file, kept between tasks."""
+    """One encoder for each Python worker, kept between tasks that tokenise (owner ``tokens``)."""
     return Encoder(path)
 
 
+kept("tokens", encoder.cache_clear)
+
+
 def encoded(text: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after, ids, boundaries) of runs of texts, ``end_id`` after each text; null counts as empty."""
     e = encoder(path)

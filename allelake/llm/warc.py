@@ -24,7 +24,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelake.llm.common import filesystem, stage, work_dir
+from allelake.llm.common import filesystem, mapped, stage, work_dir
 
 ARCHIVE_BYTES, RUN_ROWS, GROUP_ROWS, RANGE_ROWS, FAN_IN, SAMPLES = 64 << 20, 200_000, 2_048, 32_768, 64, 16
 REVISIT_BYTES = 1_000
@@ -283,14 +283,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) ->
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     rows = rows.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).withColumn("bytes", F.coalesce(F.octet_length("html"), F.lit(0)))
     equal = rows.where(f"bytes >= {least}").groupBy("digest", "bytes").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return stage(rows.join(equal, ["digest", "bytes"], "left").mapInArrow(_write(folder), "archive string, records long, bytes long"), f"{folder}-list")
+    return stage(rows.join(equal, ["digest", "bytes"], "left").transform(mapped(_write(folder), "archive string, records long, bytes long")), f"{folder}/list")
 
 
 def merged_index(archives: DataFrame, folder: str) -> DataFrame:
     """Index entries of all records of ``archives``, read from the files: ordered by (range, URL key, time, page)."""
     spark = archives.sparkSession
     spread = archives.select("archive").repartition(max(1, archives.count()), "archive")
-    runs = stage(spread.mapInArrow(_sorted_runs(f"{folder}-runs"), RUNS), f"{folder}-sparse")
+    runs = stage(spread.transform(mapped(_sorted_runs(f"{folder}/runs"), RUNS)), f"{folder}/sparse")
     total = runs.agg(F.sum("rows")).first()[0] or 0
     ranges = max(1, -(-total // RANGE_ROWS))
     # The cuts only balance the work: a bounded number of keys for each range is enough.
@@ -310,7 +310,7 @@ def merged_index(archives: DataFrame, folder: str) -> DataFrame:
 
     after = "over (partition by run order by group)"
     follow = runs.selectExpr("*", f"lead(url_key) {after} as next_url", f"lead(captured) {after} as next_captured", f"lead(page_id) {after} as next_page", f"lead(1) {after} is not null as more")
-    todo = follow.mapInArrow(place, "run string, group int, range int")
+    todo = follow.transform(mapped(place, "run string, group int, range int"))
     # Runs are numbered by their place in a list of runs alone (one row for a run of up to RUN_ROWS records).
     names = sorted(r[0] for r in runs.select("run").distinct().collect())
     number = {n: i for i, n in enumerate(names)}
@@ -320,14 +320,14 @@ def merged_index(archives: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             yield batch.append_column("number", pa.array([numbers.value[x] for x in batch.column("run").to_pylist()], pa.int64()))
 
-    todo, left, level = todo.mapInArrow(numbered, "run string, group int, range int, number long"), len(names), 0
+    todo, left, level = todo.transform(mapped(numbered, "run string, group int, range int, number long")), len(names), 0
     while left > FAN_IN:
         grouped = todo.withColumn("team", F.floor(F.col("number") / FAN_IN)).groupBy("range", "team")
         level += 1
-        written = stage(grouped.applyInArrow(_merge(f"{folder}-runs{level}", splits, False), RUNS + ", range int, number long"), f"{folder}-sparse{level}")
+        written = stage(grouped.applyInArrow(_merge(f"{folder}/runs{level}", splits, False), RUNS + ", range int, number long"), f"{folder}/sparse{level}")
         todo, left = written.select("run", "group", "range", "number"), -(-left // FAN_IN)
-    final = todo.groupBy("range").applyInArrow(_merge(f"{folder}-final", splits, True), ENTRY_DDL + ", range int")
-    return stage(final, f"{folder}-index")
+    final = todo.groupBy("range").applyInArrow(_merge(f"{folder}/final", splits, True), ENTRY_DDL + ", range int")
+    return stage(final, f"{folder}/index")
 
 
 def capture_histories(pages: DataFrame, name: str = "warc") -> DataFrame:
