@@ -4,6 +4,9 @@ Everything a variant needs is a sum over samples, so a variant's test is one agg
 the rest is arithmetic on its sums: with X = [1, covariates], A = X'X, u = X'g and r the trait's residual on X,
 num = g'r, den = g'g - u'inv(A)u, sigma2 = r'r / (N - columns of X). Only A and X'y, a few numbers, go to the driver.
 Missing dosages count as the variant's mean, which needs the sums over its observed samples alone.
+
+Dosages, traits and covariates that are all integers or decimals are summed as such, exactly, so the result doesn't depend
+on the order in which partitions are added; floating-point ones are centred first, which keeps their precision.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from allelake.functions.pvalue import log10p
 
@@ -24,21 +28,28 @@ def statistics(num: Column, den: Column, sigma2: Column) -> dict[str, Column]:
     return {"beta": F.when(fine, num / den), "se": F.when(fine, F.sqrt(sigma2 / den)), "chisq": F.when(fine, chisq), "log10p": F.when(fine, log10p(chisq))}
 
 
+def _exact(*fields: T.StructField) -> bool:
+    return all(isinstance(f.dataType, (T.IntegralType, T.DecimalType)) for f in fields)
+
+
 def null_model(samples: DataFrame, traits: list[str], covariates: list[str]) -> dict:
     """Gram matrix and trait sums of the samples: (1 + covariates) squared numbers for each trait."""
-    x = [F.lit(1.0), *(F.col(c).cast("double") for c in covariates)]
+    exact = _exact(*(samples.schema[c] for c in (*traits, *covariates)))
+    number = (lambda c: F.col(c)) if exact else (lambda c: F.col(c).cast("double"))
+    x = [F.lit(1) if exact else F.lit(1.0), *(number(c) for c in covariates)]
     sums = {f"a{i}_{j}": F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))}
     for t in traits:
-        y = F.col(t).cast("double")
+        y = number(t)
         sums |= {f"{t}|b{i}": F.sum(x[i] * y) for i in range(len(x))} | {f"{t}|yy": F.sum(y * y)}
     row = samples.agg(*(v.alias(k) for k, v in sums.items())).first().asDict()
+    row = {k: float(v or 0) for k, v in row.items()}
     k = len(x)
-    a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
     inverse, n, out = np.linalg.pinv(a), a[0, 0], {}
     for t in traits:
-        b = np.array([row[f"{t}|b{i}"] or 0.0 for i in range(k)])
+        b = np.array([row[f"{t}|b{i}"] for i in range(k)])
         effect = inverse @ b
-        out[t] = {"effect": effect, "sigma2": float(((row[f"{t}|yy"] or 0.0) - b @ effect) / max(1.0, n - k))}
+        out[t] = {"effect": effect, "sigma2": float((row[f"{t}|yy"] - b @ effect) / max(1.0, n - k))}
     return {"n": int(n), "inverse": inverse, "totals": a[0], "traits": out}
 
 
@@ -52,15 +63,20 @@ def score_test(genotypes: DataFrame, samples: DataFrame, by: list[str], trait: s
     model = model or null_model(samples, [trait], covariates)
     null = model["traits"][trait]
     joined = genotypes.join(samples.select(sample, trait, *covariates), sample)
-    v, y = F.col(g).cast("double"), F.col(trait).cast("double")
-    x = [F.lit(1.0), *(F.col(c).cast("double") for c in covariates)]
-    seen = F.when(v.isNotNull(), 1.0)
-    residual = y - sum((F.lit(float(e)) * c for e, c in zip(null["effect"], x, strict=True)), F.lit(0.0))
-    sums = [F.sum(v).alias("s1"), F.sum(v * v).alias("s2"), F.sum(v * residual).alias("sr"), F.sum(seen * residual).alias("mr"), F.count(v).alias("n")]
+    exact = _exact(genotypes.schema[g], *(samples.schema[c] for c in (trait, *covariates)))
+    number = (lambda c: F.col(c)) if exact else (lambda c: F.col(c).cast("double"))
+    v, y = number(g), number(trait)
+    x = [F.lit(1) if exact else F.lit(1.0), *(number(c) for c in covariates)]
+    seen = F.when(v.isNotNull(), x[0])
+    fitted = lambda parts: sum((F.lit(float(e)) * part for e, part in zip(null["effect"], parts, strict=True)), F.lit(0.0))
+    target = y if exact else y - fitted(x)
+    sums = {"s1": F.sum(v), "s2": F.sum(v * v), "sr": F.sum(v * target), "mr": F.sum(seen * target)}
     for i in range(len(x)):
-        sums += [F.sum(v * x[i]).alias(f"u{i}"), F.sum(seen * x[i]).alias(f"m{i}")]
-    t = joined.groupBy(*by).agg(*sums).where("n > 0")
+        sums |= {f"u{i}": F.sum(v * x[i]), f"m{i}": F.sum(seen * x[i])}
+    t = joined.groupBy(*by).agg(F.count(v).alias("n"), *(e.cast("double").alias(k) for k, e in sums.items())).where("n > 0")
     c = F.col
+    if exact:
+        t = t.withColumns({"sr": c("sr") - fitted([c(f"u{i}") for i in range(len(x))]), "mr": c("mr") - fitted([c(f"m{i}") for i in range(len(x))])})
     mean, gone = c("s1") / c("n"), F.lit(float(model["n"])) - c("n")
     u = [c(f"u{i}") + mean * (F.lit(float(model["totals"][i])) - c(f"m{i}")) for i in range(len(x))]
     quad = sum((F.lit(float(model["inverse"][i, j])) * u[i] * u[j] for i in range(len(x)) for j in range(len(x))), F.lit(0.0))

@@ -142,21 +142,23 @@ def top_hits(spark, d):
     return assoc_score_intercept(spark, d).select("variant_index", "chisq", "log10p").orderBy(F.desc("chisq"), "variant_index").limit(10)
 
 
-_ITEM_SCORE = f"""WITH {ITEM}, d AS (SELECT variant, sample, max(g) AS g FROM i GROUP BY 1, 2), o AS (SELECT o_orderkey AS sample, o_totalprice / 1000 AS y FROM orders),
-m AS (SELECT count(*) AS n, avg(y) AS mean, var_samp(y) AS s2 FROM o), r AS (SELECT sample, y - mean AS r FROM o, m),
-a AS (SELECT variant, count(*) AS c, sum(g) AS s1, sum(g * g) AS sq, sum(g * r) AS gr, sum(r) AS sr FROM d JOIN r ON d.sample = r.sample GROUP BY variant),
-b AS (SELECT variant, c, s1 / CAST(c AS DOUBLE) AS f, s2, gr - s1 / CAST(c AS DOUBLE) * sr AS num, sq + s1 / CAST(c AS DOUBLE) * (s1 / CAST(c AS DOUBLE)) * (n - c) - n * (s1 / CAST(c AS DOUBLE)) * (s1 / CAST(c AS DOUBLE)) AS den FROM a, m)
-SELECT variant, round(f / 2, 6) AS a1freq, CAST(c AS INT) AS n, CASE WHEN den > 1e-9 THEN round(num / den, 4) END AS beta, CASE WHEN den > 1e-9 THEN round(num * num / (s2 * den), 5) END AS chisq FROM b"""
+_ITEM_SCORE = f"""WITH {ITEM}, d AS (SELECT variant, sample, max(g) AS g FROM i GROUP BY 1, 2), o AS (SELECT o_orderkey AS sample, CAST(o_totalprice AS DECIMAL(18, 2)) AS y FROM orders),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(y * y) AS DOUBLE) AS yy FROM o), k AS (SELECT n, 1 / n AS inv, 1 / n * sy AS e, (yy - sy * (1 / n * sy)) / (n - 1) AS s2 FROM m),
+a AS (SELECT variant, CAST(count(*) AS DOUBLE) AS c, CAST(sum(g) AS DOUBLE) AS s1, CAST(sum(g * g) AS DOUBLE) AS sq, CAST(sum(g * y) AS DOUBLE) AS gy, CAST(sum(y) AS DOUBLE) AS my FROM d JOIN o ON d.sample = o.sample GROUP BY variant),
+b AS (SELECT variant, c, s1 / c AS f, s2, gy - e * s1 - s1 / c * (my - e * c) AS num, sq + s1 / c * (s1 / c) * (n - c) - inv * (s1 + s1 / c * (n - c)) * (s1 + s1 / c * (n - c)) AS den FROM a, k)
+SELECT variant, round(f / 2, 6) AS a1freq, CAST(c AS INT) AS n, CASE WHEN den > 1e-9 THEN round(num / den / 1000, 4) END AS beta, CASE WHEN den > 1e-9 THEN round(num * num / (s2 * den), 5) END AS chisq FROM b"""
 
 
 @query(_ITEM_SCORE)
 def assoc_items(spark, d):
-    """Score test of many variants, each observed in few samples (the others count as the mean)."""
+    """Score test of many variants, each observed in few samples (the others count as the mean); beta is per 1000 of the price.
+
+    Prices are taken as the decimals they are, so all sums are exact, whatever the number of partitions."""
     g = item_genotypes(spark, d).groupBy("variant", "sample").agg(F.max("g").alias("g"))
-    samples = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample"), (F.col("o_totalprice") / 1000).alias("y"))
+    samples = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample"), F.col("o_totalprice").cast("decimal(18, 2)").alias("y"))
     out = linear.score_test(g, samples, ["variant"], sample="sample")
     fine = F.col("se").isNotNull()
-    return out.select("variant", F.round("a1freq", 6).alias("a1freq"), "n", F.when(fine, F.round("beta", 4)).alias("beta"), F.when(fine, F.round("chisq", 5)).alias("chisq"))
+    return out.select("variant", F.round("a1freq", 6).alias("a1freq"), "n", F.when(fine, F.round(F.col("beta") / 1000, 4)).alias("beta"), F.when(fine, F.round("chisq", 5)).alias("chisq"))
 
 
 @query(f"""WITH {ITEM} SELECT variant, count(*) FILTER (g = 0) AS n0, count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 2) AS n2, CAST(sum(g) AS BIGINT) AS allele1_count,

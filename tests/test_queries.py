@@ -37,6 +37,18 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, D).count() > 0
 
 
+def test_exact_sums_whatever_the_partitions(spark):
+    """The score test of decimals gives identical bits for any number of shuffle partitions."""
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 7, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, QUERIES["assoc_items"](spark, "/root/testdata/sf0.01").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found[0]) == 2000 and found[0] == found[1] == found[2]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
