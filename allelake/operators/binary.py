@@ -7,7 +7,7 @@ genotypes is tested by itself.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,14 +174,23 @@ def hlm_fit(x: np.ndarray, v: np.ndarray, y: np.ndarray, rounds: int = 100) -> t
     return alpha_of(beta), beta, last
 
 
-def over_variants(wide: DataFrame, kernel: Callable[[np.ndarray], dict], schema: str, keep: list[str], dosages: str = "dosages") -> DataFrame:
-    """One row per variant: the columns ``keep`` and the fields of ``kernel(dosages)``; dosages may be null (missing)."""
+def dosage_rows(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """Dosages of each variant (nan: missing), straight from the array's flat buffer."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield values[a:b].astype(np.float64)
+
+
+def over_variants(wide: DataFrame, kernel: Callable[..., dict], schema: str, keep: list[str], dosages: str = "dosages", given: list[str] | None = None) -> DataFrame:
+    """One row per variant: the columns ``keep`` and the fields of ``kernel(dosages, *values of the columns given)``;
+    dosages may be null (missing)."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
     kinds = {f.name: f.dataType.simpleString() for f in wide.schema}
 
     def run(batches):
         for batch in batches:
-            rows = [kernel(np.array([np.nan if v is None else v for v in x], np.float64)) for x in batch.column(dosages).to_pylist()]
+            others = [batch.column(c).to_pylist() for c in given or []]
+            rows = [kernel(x, *more) for x, *more in zip(dosage_rows(batch.column(dosages)), *others, strict=True)]
             yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in keep} | {k: pa.array([r.get(k) for r in rows], _ARROW[kind]) for k, kind in zip(names, (x.strip().split(" ")[1] for x in schema.split(",")), strict=True)})
 
     return wide.select(*keep, dosages).mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), schema]))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelake.operators.binary import _log10p
+from allelake.operators.binary import _log10p, dosage_rows
 from allelake.operators.meta import chisq_mixture_p
 
 
@@ -64,7 +64,7 @@ def run_set_tests(wide: DataFrame, membership: DataFrame, x: np.ndarray, y: np.n
     kinds = {f.name: f.dataType.simpleString() for f in membership.schema}
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        g = np.array([[np.nan if v is None else v for v in d] for d in table.column("dosages").to_pylist()], np.float64).T
+        g = np.stack(list(dosage_rows(table.column("dosages").combine_chunks()))).T
         found = set_tests(g, *shared.value)
         return pa.table({k: [v.as_py()] for k, v in zip(by, key, strict=True)} | {k: pa.array([v], pa.int32() if k == "variants" else pa.float64()) for k, v in found.items()})
 

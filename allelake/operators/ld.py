@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from allelake.operators.binary import dosage_rows
+
 
 def pairs_within(genotypes: DataFrame, variant: str, sample: str, g: str = "g", window: int | None = None, by: list[str] | None = None) -> DataFrame:
     """r and r2 of each pair i < j of variants (of one group, at most ``window`` apart): by, i, j, r, r2, n.
@@ -53,7 +55,7 @@ def prune(wide: DataFrame, by: str = "chrom", order: str = "variant_index", dosa
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("_n")
-        x = np.array(table.column("dosages").to_pylist(), np.float64)
+        x = np.stack(list(dosage_rows(table.column("dosages").combine_chunks())))
         x = np.where(np.isnan(x), np.nanmean(x, axis=1, keepdims=True), x)
         f = x.mean(1) / 2
         maf = np.minimum(f, 1 - f)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -41,11 +41,18 @@ class Artifacts:
     final: str | None
 
 
-def load_genotypes(spark: SparkSession, x: Inputs) -> tuple[DataFrame, DataFrame]:
+def read_variants(spark: SparkSession, x: Inputs, dosages: bool = True, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Wide genotypes, or the variants' heads alone."""
+    if GenotypeFormat(x.format) is GenotypeFormat.PLINK:
+        return plink.read_bed(spark, x.genotypes, x.chunk_size, dosages, ranges)
+    return bgen.read_bgen(spark, x.genotypes, x.chunk_size, x.trusted, dosages, ranges)
+
+
+def load_genotypes(spark: SparkSession, x: Inputs, ranges: list[tuple[int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Wide genotypes and their samples: an explicit or adjacent sample file, else the names in the file, else made-up ones."""
+    rows = read_variants(spark, x, ranges=ranges)
     if GenotypeFormat(x.format) is GenotypeFormat.PLINK:
-        return plink.read_bed(spark, x.genotypes, x.chunk_size), plink.read_fam(spark, x.genotypes.removesuffix(".bed") + ".fam")
-    rows = bgen.read_bgen(spark, x.genotypes, x.chunk_size, x.trusted)
+        return rows, plink.read_fam(spark, x.genotypes.removesuffix(".bed") + ".fam")
     path = resolve_sample_path(x.genotypes, x.sample)
     if path is not None:
         return rows, load_samples(spark, path)
@@ -90,10 +97,14 @@ def linear_kernel(x: np.ndarray, residual: np.ndarray, sigma2: float):
     return test
 
 
-def run_association(spark: SparkSession, x: Inputs, trait: TraitType = TraitType.QUANTITATIVE, correction: BinaryCorrection = BinaryCorrection.FIRTH_APPROXIMATE) -> DataFrame:
-    """Result rows of all variants, with their chunks. Genotypes stay wide and are never shuffled; what is broadcast are
-    vectors of samples, one trait residual for each chromosome."""
-    wide, samples = load_genotypes(spark, x)
+def run_association(spark: SparkSession, x: Inputs, trait: TraitType = TraitType.QUANTITATIVE, correction: BinaryCorrection = BinaryCorrection.FIRTH_APPROXIMATE, plan: DataFrame | None = None, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Result rows of all variants (or of ``ranges`` of them), with their chunks (of the ``plan``, by default that of all).
+
+    Genotypes stay wide, are decoded once and never shuffled; what is broadcast are vectors of samples, one trait residual
+    for each chromosome that has predictions. A sample without a prediction for one of these is an error.
+    """
+    wide, samples = load_genotypes(spark, x, ranges)
+    plan = chunk_plan(spark, x) if plan is None else plan
     table = load_samples_of(spark, x, samples)
     names = [c for c in table.columns if c not in ("sample_index", "y", *KEY)]
     v = _arrays(table, ["y", *names])
@@ -116,29 +127,59 @@ def run_association(spark: SparkSession, x: Inputs, trait: TraitType = TraitType
             predictions = read_predictions(spark, x.pred).join(table.select("sample_index", *KEY), KEY).select("chrom", "sample_index", "loco_pred")
             place = {int(s): i for i, s in enumerate(v["sample_index"])}
             for chrom, group in predictions.toPandas().groupby("chrom"):  # a number for each sample and chromosome
+                lost = len(v["y"]) - group.dropna().sample_index.nunique()
+                if lost:
+                    raise ValueError(f"chromosome {chrom}: {lost} samples have no prediction")
                 y = v["y"].astype(np.float64).copy()
                 y[[place[int(s)] for s in group["sample_index"]]] -= group["loco_pred"].to_numpy()
                 by_chrom[str(chrom)] = y
         shared = spark.sparkContext.broadcast((q, {k: y - q @ (q.T @ y) for k, y in by_chrom.items()}))
 
-        def tested(rows: DataFrame, chrom: str | None) -> DataFrame:
-            def kernel(g):
-                basis, residuals = shared.value
-                res = residuals[chrom]
-                return linear_kernel(basis, res, float(res @ res / max(1, len(res) - basis.shape[1])))(g[index.value])
+        def kernel(g: np.ndarray, chrom: str) -> dict:
+            basis, residuals = shared.value
+            res = residuals.get(chrom, residuals[None])
+            return linear_kernel(basis, res, float(res @ res / max(1, len(res) - basis.shape[1])))(g[index.value])
+
+        found = binary.over_variants(wide, kernel, binary.RESULT, keep, given=["chrom"])
+    return chunks.with_chunks(found, plan, x.chunk_size)
+
+
+def chunk_plan(spark: SparkSession, x: Inputs) -> DataFrame:
+    """Chunks of all variants, from their heads."""
+    return ordered.chunk_plan(read_variants(spark, x, dosages=False), size=x.chunk_size)
+
+
+def _facts(x: Inputs, trait: TraitType, correction: BinaryCorrection) -> dict:
+    """What a run's chunks are made from: its options, and the sizes of its files."""
+    names = {"genotypes": x.genotypes.removesuffix(".bed") + ".bed" if GenotypeFormat(x.format) is GenotypeFormat.PLINK else x.genotypes, "pheno": x.pheno, "covar": x.covar, "pred": x.pred, "sample": x.sample}
+    facts = asdict(x) | {"trait": str(trait), "correction": str(correction)}
+    for k, path in names.items():
+        if path:
+            with bgen.open_file(path) as f:
+                facts[f"{k} bytes"] = f.size()
+    return facts
 
-            return binary.over_variants(rows, kernel, binary.RESULT, keep)
 
-        chroms = [c for c in by_chrom if c is not None]
-        found = tested(wide.where(~F.col("chrom").isin(chroms)) if chroms else wide, None)
-        for c in chroms:
-            found = found.unionByName(tested(wide.where(F.col("chrom") == c), c))
-    return chunks.with_chunks(found, x.chunk_size)
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Half-open ranges, joined where they touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def run(spark: SparkSession, x: Inputs, out: str, trait: TraitType = TraitType.QUANTITATIVE, correction: BinaryCorrection = BinaryCorrection.FIRTH_APPROXIMATE, finalize: bool = True) -> Artifacts:
-    """A resumable run: chunks that ``out`` holds already are kept and not tested again."""
-    results = run_association(spark, x, trait, correction)
-    done = chunks.committed(spark, out)
-    chunks.commit_chunks(chunks.remaining(results, done), out)
+    """A resumable run: chunks that ``out`` holds already are kept, and their variants neither decoded nor tested again.
+
+    ``out`` records options and sizes of the inputs; a run with others in the same folder is an error.
+    """
+    chunks.claim(spark, out, _facts(x, trait, correction))
+    todo = chunks.remaining(chunk_plan(spark, x), chunks.committed(spark, out)).collect()  # a row for each open chunk
+    if todo:
+        plan = spark.createDataFrame(todo)
+        ranges = merged([(r["variant_start_index"], r["variant_stop_index"]) for r in todo])
+        chunks.commit_chunks(run_association(spark, x, trait, correction, plan, ranges), out)
     return Artifacts(out, f"{out}/chunks", chunks.finalize(spark, out) if finalize else None)

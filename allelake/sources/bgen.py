@@ -8,6 +8,7 @@ Filters on variant_index reach the reader, and no genotype is decoded if the dos
 
 from __future__ import annotations
 
+import json
 import os
 import sqlite3
 import struct
@@ -205,6 +206,7 @@ class BgenReader(DataSourceReader):
         self.trusted = options.get("trusted", "false").lower() == "true"
         self.dosages = options.get("dosages", "true").lower() == "true"
         self.low, self.high = 0, None
+        self.ranges = json.loads(options["ranges"]) if "ranges" in options else None
         with open_file(self.path) as f:
             self.header = read_header(f)
 
@@ -213,12 +215,15 @@ class BgenReader(DataSourceReader):
         yield from left
 
     def partitions(self):
+        parts = stretches(self.ranges, self.low, self.header.variants if self.high is None else min(self.high, self.header.variants), self.chunk)
+        if not parts:
+            return [Stretch(0, 0, 0)]
         at = variant_offsets(self.path, self.header)
-        high = len(at) if self.high is None else min(self.high, len(at))
-        return [Stretch(i, min(i + self.chunk, high), int(at[i])) for i in range(self.low, high, self.chunk)] or [Stretch(0, 0, 0)]
+        return [Stretch(a, b, int(at[a])) for a, b in parts]
 
     def read(self, partition):
         columns: list[list] = [[] for _ in range(7)]
+        most = rows_at_once(self.header.samples if self.dosages else 0)
         with open_file(self.path) as f:
             f.seek(partition.offset)
             for i in range(partition.start, partition.stop):
@@ -232,24 +237,58 @@ class BgenReader(DataSourceReader):
                     f.seek(f.tell() + size)
                 for c, v in zip(columns, (i, chrom, pos, rsid or name, alleles[0], alleles[1], dosage), strict=True):
                     c.append(v)
-                if len(columns[0]) == 256:
+                if len(columns[0]) == most:
                     yield _batch(columns)
                     columns = [[] for _ in range(7)]
         yield _batch(columns)
 
 
+def rows_at_once(samples: int) -> int:
+    """Variants of one batch: 4 MB of dosages, 256 at most."""
+    return max(1, min(256, (1 << 20) // max(1, samples)))
+
+
+def stretches(ranges: list | None, low: int, high: int, size: int) -> list[tuple[int, int]]:
+    """Half-open ranges of at most ``size`` variants that cover the given ones (default: all) between ``low`` and ``high``."""
+    out = []
+    for a, b in [(low, high)] if ranges is None else ranges:
+        a, b = max(a, low), min(b, high)
+        out += [(i, min(i + size, b)) for i in range(a, b, size)]
+    return out
+
+
 def _batch(columns: list[list]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-    dosages = [None if x is None else pa.array(x, pa.float32(), from_pandas=True) for x in columns[6]]
-    lists = pa.array([None if x is None else x.to_pylist() for x in dosages], pa.list_(pa.float32()))
+    rows = columns[6]
+    if not rows or rows[0] is None:  # dosages are asked for or not, for all variants alike
+        lists = pa.nulls(len(rows), pa.list_(pa.float32()))
+    else:
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(rows), pa.float32(), from_pandas=True))
     return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=False)), lists], [f.name for f in GENOTYPES])
 
 
-def read_bgen(spark: SparkSession, path: str, chunk_size: int = 8192, trusted: bool = False, dosages: bool = True) -> DataFrame:
-    """Variants of a BGEN file."""
+def read_bgen(spark: SparkSession, path: str, chunk_size: int = 8192, trusted: bool = False, dosages: bool = True, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Variants of a BGEN file; ``ranges`` are half-open ranges of variant_index that alone are read."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BgenSource)
-    return spark.read.format("bgen").option("chunk_size", chunk_size).option("trusted", str(trusted).lower()).option("dosages", str(dosages).lower()).load(path)
+    read = spark.read.format("bgen").option("chunk_size", chunk_size).option("trusted", str(trusted).lower()).option("dosages", str(dosages).lower())
+    return (read if ranges is None else read.option("ranges", json.dumps(ranges))).load(path)
+
+
+#: So many chosen variants are read by their own ranges; of more, the ranges are those of whole blocks that hold some.
+EXACT_RANGES, BLOCK_VARIANTS = 1 << 17, 1 << 10
+
+
+def ranges_of(chosen: DataFrame) -> list[tuple[int, int]]:
+    """Half-open ranges that hold all of ``chosen`` (variant_index): to the driver go bounded numbers or one for each block."""
+    step = 1
+    rows = chosen.limit(EXACT_RANGES + 1).collect()
+    if len(rows) > EXACT_RANGES:
+        step, rows = BLOCK_VARIANTS, chosen.select(F.floor(F.col("variant_index") / BLOCK_VARIANTS).alias("b")).distinct().collect()
+    at = np.unique(np.array([r[0] for r in rows], np.int64))
+    edge = np.flatnonzero(np.diff(at) > 1)
+    return [(int(a) * step, (int(b) + 1) * step) for a, b in zip(at[np.append(0, edge + 1)], at[np.append(edge, len(at) - 1)], strict=True)] if len(at) else []
 
 
 def embedded_samples(spark: SparkSession, path: str) -> DataFrame | None:
@@ -270,7 +309,7 @@ def load_indexed(spark: SparkSession, path: str, ranges: DataFrame | None = None
     """Variants in any of the ranges (chrom, start, end; ends included) or with one of the identifiers, each once, with the
     dosages of the given samples in their order (default: all). Without either, no variant.
 
-    Heads are read first; only the chosen variants' genotypes are decoded by ranges of the index.
+    Heads are read first; then only the ranges of variant_index that hold chosen variants are decoded.
     """
     from allelake.operators.align import select_samples
     from allelake.operators.ranges import in_regions
@@ -281,7 +320,8 @@ def load_indexed(spark: SparkSession, path: str, ranges: DataFrame | None = None
         chosen = chosen.union(in_regions(heads, ranges).select("variant_index"))
     if rsids:
         chosen = chosen.union(heads.where(F.col("variant_id").isin(rsids)).select("variant_index"))
-    out = read_bgen(spark, path).join(chosen.distinct(), "variant_index", "left_semi")
+    chosen = chosen.distinct()
+    out = read_bgen(spark, path, ranges=ranges_of(chosen)).join(chosen, "variant_index", "left_semi")
     if samples is not None:
         out = out.withColumn("dosages", select_samples(F.col("dosages"), F.array(*(F.lit(i) for i in samples))))
     return out.orderBy("chrom", "genpos", "variant_index")

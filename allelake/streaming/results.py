@@ -23,9 +23,9 @@ def not_null(stream: DataFrame, column: str) -> DataFrame:
 
 
 def commit_stream(stream: DataFrame, folder: str, checkpoint: str):
-    """Commit arriving results as chunks until no file is left; a restart goes on after the last committed batch, and a
-    batch that runs twice replaces its chunks."""
-    return stream.writeStream.foreachBatch(lambda batch, _: commit_chunks(batch, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Commit arriving results as chunks until no file is left. A chunk's rows may come in many batches; a restart goes on
+    after the last committed batch, and a batch that runs twice replaces its own rows alone."""
+    return stream.writeStream.foreachBatch(lambda batch, number: commit_chunks(batch, folder, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(stream: DataFrame, time: str = "ts", kind: str = "event_type", late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

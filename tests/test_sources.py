@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from allelake.plans.step2 import Inputs, run
+from allelake.operators.chunks import commit_chunks, read_chunks
+from allelake.plans import step2
+from allelake.plans.step2 import Inputs, run, run_association
 from allelake.schemas import RESULTS, BinaryCorrection, TraitType
 from allelake.sources import bgen, plink, samples, text
 from allelake.streaming.results import commit_stream, read_stream, windowed_counts
@@ -113,7 +115,8 @@ def study(tmp_path, n=60, m=10):
     return g, age, y, path
 
 
-def test_linear_run_and_restart(spark, tmp_path):
+def test_linear_run_and_restart(spark, tmp_path, monkeypatch):
+    original = step2.run_association
     g, age, y, path = study(tmp_path)
     x = Inputs(path, str(tmp_path / "pheno"), "y", covar=str(tmp_path / "covar"), covar_names=["age"], chunk_size=3)
     made = run(spark, x, str(tmp_path / "out"))
@@ -139,6 +142,18 @@ def test_linear_run_and_restart(spark, tmp_path):
     other = spark.read.parquet(run(spark, x, str(tmp_path / "out2")).final).toPandas().sort_values("genpos")
     assert np.allclose(other.chisq, rows.chisq)
     assert run(spark, x, str(tmp_path / "out3"), finalize=False).final is None
+    with pytest.raises(ValueError, match="chunk_size"):  # its chunk numbers mean other variants
+        run(spark, x, str(tmp_path / "out"))
+    # A finished run decodes and tests nothing when it is started again; a broken one only the open ranges.
+    asked = []
+    monkeypatch.setattr(step2, "run_association", lambda *a: asked.append(a[-1]) or original(*a))
+    run(spark, x, str(tmp_path / "out2"))
+    assert not asked
+    x.chunk_size = 3
+    for i in (1, 3):
+        shutil.rmtree(next((tmp_path / "out/chunks").glob(f"chunk_identifier={i}")))
+    again = spark.read.parquet(run(spark, x, str(tmp_path / "out")).final).toPandas().sort_values("genpos")
+    assert np.allclose(again.beta, rows.beta) and asked == [[(3, 6), (9, 10)]]
 
 
 def test_predictions_and_binary(spark, tmp_path):
@@ -153,6 +168,12 @@ def test_predictions_and_binary(spark, tmp_path):
     v = g[np.arange(60) != 5]
     r = (y - age)[np.arange(60) != 5]
     assert np.isclose(b.beta[4], np.cov(v[:, 4], r)[0, 1] / v[:, 4].var(ddof=1), rtol=1e-4)
+    table = run_association(spark, Inputs(path, str(tmp_path / "pheno"), "y", pred=str(tmp_path / "pred.list")))
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # all chromosomes in one scan
+    (tmp_path / "few").write_text("FID_IID s0_s0 s1_s1\n1 0.5 0.5\n")
+    (tmp_path / "few.list").write_text(f"y {tmp_path / 'few'}\n")
+    with pytest.raises(ValueError, match="57 samples have no prediction"):
+        run_association(spark, Inputs(path, str(tmp_path / "pheno"), "y", pred=str(tmp_path / "few.list")))
     for c in BinaryCorrection:
         made = run(spark, Inputs(path, str(tmp_path / "pheno"), "b"), str(tmp_path / f"o{c}"), TraitType.BINARY, c)
         assert spark.read.parquet(made.final).where("log10p is not null").count() == 10
@@ -163,9 +184,14 @@ def test_streams(spark, tmp_path):
     from allelake.schemas import to_schema
 
     to_schema(rows, RESULTS).repartition(4).write.parquet(str(tmp_path / "in"))
-    for _ in range(2):  # a second start finds nothing new
-        commit_stream(read_stream(spark, str(tmp_path / "in"), files_at_once=4), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-        assert spark.read.parquet(str(tmp_path / "out/chunks")).count() == 20
+    for files in (1, 4):  # each file holds rows of every chunk
+        for _ in range(2):  # a second start finds nothing new
+            commit_stream(read_stream(spark, str(tmp_path / "in"), files_at_once=files), str(tmp_path / f"out{files}"), str(tmp_path / f"cp{files}")).awaitTermination()
+            got = read_chunks(spark, str(tmp_path / f"out{files}"))
+            assert sorted(r.genpos for r in got.collect()) == list(range(20))
+            assert {r[0] for r in got.select("chunk_identifier").distinct().collect()} == {0, 1, 2, 3}
+    commit_chunks(rows.where("genpos < 3"), str(tmp_path / "out1"), part=0)  # a batch again: its own part alone
+    assert read_chunks(spark, str(tmp_path / "out1")).where("genpos >= 3").count() >= 12
     events = "/root/testdata/sf0.001/events.parquet"
     schema = spark.read.parquet(events).schema
     (tmp_path / "ev").mkdir()
