@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from allelake.llm.common import stage, work_dir
 from allelake.llm.decontaminate import keep_clean
-from allelake.llm.jaccard_join import jaccard_components
+from allelake.llm.jaccard_join import BROADCAST_BYTES, jaccard_components
 from allelake.llm.language_id import keep_known
 from allelake.llm.packing import pack_documents
 from allelake.llm.quality import keep_good
@@ -39,8 +39,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = jaccard_components(rows.select(F.col("id").alias("doc_id"), "row.text"), k=5, percent=80, name="pipeline-jaccard")
     groups = groups.select(F.col("doc_id").alias("id"), "component_id")
     order = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), "id")
-    kept = rows.select("id", order.alias("place")).join(groups, "id").groupBy("component_id").agg(F.min("place").alias("place"))
-    return rows.join(kept.select("place.id"), "id", "left_semi").select("row.*")
+    placed = rows.select("id", order.alias("place")).join(groups, "id")
+    kept = placed.groupBy("component_id").agg(F.min("place").alias("place"))
+    dropped = placed.select("id").join(kept.select("place.id"), "id", "left_anti")
+    dropped = stage(dropped, work_dir(spark, "pipeline-dropped"))
+    if dropped.count() * 8 <= BROADCAST_BYTES:  # rows then stay where they are
+        dropped = F.broadcast(dropped)
+    return rows.join(dropped, "id", "left_anti").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
