@@ -3,7 +3,9 @@
 All word trigrams of a benchmark item are its seeds: any of them may be the only one that an edited copy keeps. Documents
 that hold a seed are aligned with the item around it, word by word, and report the item if the alignment's score is a given
 share of the best possible one: copies, and copies with words replaced, dropped or added. Seeds that are common in the
-corpus cost little: a window that holds too few of the item's words to reach the score isn't aligned.
+corpus cost little: a window that holds too few of the item's words to reach the score isn't aligned, nor is one that holds
+the item as it is. Windows are aligned many at a time, as many as fit in a bounded number of cells; a single alignment takes
+memory in proportion to its window, and time to window times item.
 
 The benchmark is taken in blocks of a bounded size; a block is broadcast, and documents are scanned where they are, so
 nothing of the corpus is shuffled.
@@ -30,6 +32,8 @@ BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Pairs of a seed in a text and one in an item that are worked on at once.
 PAIRS = 1 << 20
+#: Words of all windows (the longest one's length times their number) that are aligned at once, unless one alone has more.
+CELLS, WINDOWS = 1 << 19, 256
 _FILTER_BITS = 22
 #: Scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, bopomofo, Han, Yi and extensions).
 NO_SPACES = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x323AF)]
@@ -93,6 +97,7 @@ class Block:
     def index(self) -> None:
         self.unique, self.begin = np.unique(self.gram, return_index=True)
         self.begin = np.append(self.begin, len(self.gram))
+        self.whole = H.hashes_between(H.running(self.words), self.first[:-1], self.first[1:])
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.unique >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
 
@@ -247,10 +252,23 @@ def _long_matches(block: Block, words: np.ndarray, first: np.ndarray, least: flo
     lo = np.maximum(first[t], first[t] + low - slack)
     hi = np.minimum(first[t + 1], first[t] + high + size + slack)
     found = {}
-    order = np.lexsort((hi - lo, size))
-    for s in range(0, len(order), 256):
-        some = order[s : s + 256]
+    order, running, s = np.lexsort((hi - lo, size)), H.running(words), 0
+    while s < len(order):
+        wide = np.maximum.accumulate((hi - lo)[order[s : s + WINDOWS]])
+        n = max(1, int(np.searchsorted(wide * np.arange(1, len(wide) + 1), CELLS, "right")))
+        some, s = order[s : s + n], s + n
         some = some[_may_reach(block, words, item[some], lo[some], hi[some], least)]
+        exact = {}
+        for i in some.tolist():
+            at = np.arange(lo[i], hi[i] - size[i] + 1)
+            hit = np.flatnonzero(H.hashes_between(running, at, at + size[i]) == block.whole[item[i]])
+            if len(hit):
+                begin = int(at[hit[0]] - first[t[i]])
+                exact[i] = -1.0, begin, begin + int(size[i]) - 1
+        for i, value in exact.items():
+            key = int(t[i]), int(item[i])
+            found[key] = min(value, found.get(key, value))
+        some = some[[i not in exact for i in some.tolist()]] if exact else some
         if not len(some):
             continue
         a, b = block.first[item[some]], block.first[item[some] + 1]

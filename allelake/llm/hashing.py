@@ -79,9 +79,20 @@ def spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     """One hash per span, by differences of a running polynomial hash."""
-    forth, back = _power_tables(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, U)
-    np.cumsum(values[raw] * forth[:-1], out=total[1:])
+    return hashes_between(running(values[raw]), starts, ends)
+
+
+def running(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial hash of a sequence, for ``hashes_between``."""
+    forth, back = _power_tables(len(values) + 1)
+    total = np.zeros(len(values) + 1, U)
+    np.cumsum(values * forth[:-1], out=total[1:])
+    return total, back
+
+
+def hashes_between(run: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash per part of the sequence, whatever its place."""
+    total, back = run
     return mix((total[ends] - total[starts]) * back[starts], 3)
 
 
