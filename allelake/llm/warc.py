@@ -28,6 +28,8 @@ from allelake.llm.common import filesystem, mapped, stage, work_dir
 
 ARCHIVE_BYTES, RUN_ROWS, GROUP_ROWS, RANGE_ROWS, FAN_IN, SAMPLES = 64 << 20, 200_000, 2_048, 32_768, 64, 16
 REVISIT_BYTES = 1_000
+#: Digests of payloads that occur more than once are broadcast up to this many bytes, and joined by a shuffle beyond.
+BROADCAST_BYTES = 16 << 20
 _EPOCH = datetime.datetime(2020, 1, 1)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = pa.schema(
@@ -283,6 +285,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) ->
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     rows = rows.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).withColumn("bytes", F.coalesce(F.octet_length("html"), F.lit(0)))
     equal = rows.where(f"bytes >= {least}").groupBy("digest", "bytes").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    equal = stage(equal, f"{folder}/equal")
+    if equal.count() * 64 <= BROADCAST_BYTES:  # pages are then written where they are read
+        equal = F.broadcast(equal)
     return stage(rows.join(equal, ["digest", "bytes"], "left").transform(mapped(_write(folder), "archive string, records long, bytes long")), f"{folder}/list")
 
 
