@@ -3,9 +3,10 @@
 Equal vectors are one node that keeps its smallest ids (as many as a result can show). Nodes are dealt to shards by a hash;
 a shard is built by one task and stored as one file of flat arrays: vectors, the levels' members, and for each level the
 neighbours as rows of fixed width. Vectors get one more component, sqrt(m^2 - |x|^2) with m the largest norm, which turns
-the largest inner product into the nearest point. A node's links are chosen from its exact nearest ones on its level by the
-usual rule (a candidate nearer to a chosen one than to the node is left out), and made mutual. Queries go through all
-shards in blocks, many queries at a time; results are scored in double precision on the original vectors and merged.
+the largest inner product into the nearest point. Levels are built from the top; nodes are inserted in batches, by a search
+of the graph as it is, links are chosen among what the search finds by the usual rule (a candidate nearer to a chosen one
+than to the node is left out), and made mutual. What tight clusters cut off from the rest is bridged. Queries go through
+all shards in blocks, many queries at a time; results are scored in double precision on the original vectors and merged.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from allelake.llm import hashing as H
-from allelake.llm.common import bound_batches, filesystem, kept, stage, work_dir
+from allelake.llm.common import filesystem, kept, stage, work_dir
 
-#: Nodes of a shard, links of a node, candidates for them, nodes kept during a search, queries of a block.
-SHARD_NODES, LINKS, CANDIDATES, BEAM, QUERY_BLOCK = 16_384, 16, 48, 160, 256
+#: Nodes of a shard, links of a node, places for bridges, candidates for links, nodes kept during a search, queries of a block.
+SHARD_NODES, LINKS, BRIDGES, CANDIDATES, BEAM, QUERY_BLOCK = 16_384, 20, 4, 64, 256, 256
 
 
 def _levels(names: np.ndarray) -> np.ndarray:
@@ -34,48 +35,121 @@ def _levels(names: np.ndarray) -> np.ndarray:
     return np.floor(-np.log(np.maximum(u, 1e-18)) / math.log(LINKS)).astype(np.int64)
 
 
-def _links(x: np.ndarray) -> np.ndarray:
-    """Neighbours of each row of ``x`` (all of one norm): rows of 2 * LINKS places, -1 where there are fewer."""
-    n, most = len(x), min(CANDIDATES, len(x) - 1)
-    out = np.full((n, 2 * LINKS), -1, np.int32)
-    if most < 1:
-        return out
-    source, target, near = [], [], []
-    for lo in range(0, n, 512):
-        block = x[lo : lo + 512]
-        sim = block @ x.T
-        sim[np.arange(len(block)), lo + np.arange(len(block))] = -np.inf
-        c = np.argpartition(-sim, most - 1, axis=1)[:, :most] if most < n - 1 else np.broadcast_to(np.arange(n), (len(block), n)).copy()
-        s = np.take_along_axis(sim, c, 1)
-        rank = np.argsort(-s, axis=1, kind="stable")[:, :most]
-        c, s = np.take_along_axis(c, rank, 1), np.take_along_axis(s, rank, 1)
-        v = x[c]
-        between = v @ v.transpose(0, 2, 1)
-        chosen = np.zeros(c.shape, bool)
-        for j in range(most):
-            blocked = (chosen & (between[:, j] > s[:, j : j + 1])).any(1)
-            chosen[:, j] = ~blocked & (chosen.sum(1) < LINKS)
-        for j in range(most):  # places left go to the nearest of the others
-            chosen[:, j] |= chosen.sum(1) < LINKS // 2
-        row, col = np.nonzero(chosen)
-        source.append(lo + row)
-        target.append(c[row, col])
-        near.append(s[row, col])
-    a, b, s = np.concatenate(source), np.concatenate(target), np.concatenate(near)
-    first = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(a), np.int8)])
-    a, b, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
-    order = np.lexsort((b, -s, first, a))
-    a, b = a[order], b[order]
-    _, once = np.unique(a.astype(np.int64) * n + b, return_index=True)
-    once.sort()
-    a, b = a[once], b[once]
-    begin = np.searchsorted(a, np.arange(n))
-    place = np.arange(len(a)) - begin[a]
-    fits = place < 2 * LINKS
-    out[a[fits], place[fits]] = b[fits]
+def _choose(x: np.ndarray, cand: np.ndarray, sim: np.ndarray, most: int, fill: int) -> np.ndarray:
+    """Of each row's candidates (-1: none) up to ``most`` by the diversity rule, nearest first, then the nearest of the others
+    up to ``fill`` in all; -1 where there are fewer."""
+    order = np.argsort(-np.where(cand < 0, -np.inf, sim), axis=1, kind="stable")
+    cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
+    v = x[np.maximum(cand, 0)]
+    between = v @ v.transpose(0, 2, 1)
+    chosen = np.zeros(cand.shape, bool)
+    for j in range(cand.shape[1]):
+        blocked = (chosen & (between[:, j] > sim[:, j : j + 1])).any(1)
+        chosen[:, j] = ~blocked & (chosen.sum(1) < most) & (cand[:, j] >= 0)
+    for j in range(cand.shape[1]):
+        chosen[:, j] |= (chosen.sum(1) < fill) & (cand[:, j] >= 0)
+    first = np.argsort(~chosen, axis=1, kind="stable")[:, :most]
+    return np.where(np.take_along_axis(chosen, first, 1), np.take_along_axis(cand, first, 1), -1)
+
+
+def _once(cand: np.ndarray) -> np.ndarray:
+    """Rows in ascending order without repeats (-1 in their place)."""
+    cand = np.sort(cand, axis=1)
+    cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
+    return cand
+
+
+def _similar(x: np.ndarray, rows: np.ndarray, cand: np.ndarray) -> np.ndarray:
+    return np.einsum("ad,ard->ar", x[rows], x[np.maximum(cand, 0)])
+
+
+def _links(x: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Neighbours of each row of ``x`` (all of one norm), -1 where there are fewer: 2 * LINKS places and ``BRIDGES`` more.
+
+    Rows are inserted in order, a batch at a time: each searches the graph of those before it, from its ``entry`` nodes
+    (-1 or later ones: none) and the first row; it is also compared with its batch. Links go both ways, and a node with too
+    many keeps a diverse choice of them. At last, what can't be reached from the first row is bridged to its nearest
+    nodes that can.
+    """
+    n = len(x)
+    out = np.full((n, 2 * LINKS + BRIDGES), -1, np.int32)
+    graph = {"points": x, "links0": out, "where0": np.arange(n, dtype=np.int32)}
+    done = 0
+    while done < n:
+        rows = np.arange(done, min(n, done + max(1, min(QUERY_BLOCK, done // 2))))
+        cand = np.full((len(rows), 0), -1, np.int64)
+        if done:
+            start = np.where(entry[rows] < done, entry[rows], -1)
+            cand = _beam(graph, 0, x[rows], np.concatenate([start, np.zeros((len(rows), 1), np.int64)], 1), CANDIDATES)
+        if len(rows) > 1:  # of its own batch, the nearest ones
+            own = x[rows] @ x[rows].T
+            np.fill_diagonal(own, -np.inf)
+            near = np.argsort(-own, axis=1, kind="stable")[:, : min(LINKS, len(rows) - 1)]
+            cand = np.concatenate([cand, rows[near]], 1)
+        done = int(rows[-1]) + 1
+        if not cand.shape[1]:
+            continue
+        links = _choose(x, cand, _similar(x, rows, cand), LINKS, LINKS)
+        out[rows, : links.shape[1]] = links
+        source, target = np.repeat(rows, links.shape[1])[links.ravel() >= 0], links.ravel()[links.ravel() >= 0]
+        _add_back(x, out, target, source)
+    _bridge(x, out, graph)
     return out
 
 
+def _add_back(x: np.ndarray, out: np.ndarray, target: np.ndarray, source: np.ndarray) -> None:
+    """Links from ``target`` back to ``source``; nodes with more than 2 * LINKS choose anew."""
+    order = np.lexsort((source, target))
+    target, source = target[order], source[order]
+    nodes, begin, count = np.unique(target, return_index=True, return_counts=True)
+    for lo in range(0, len(nodes), QUERY_BLOCK):
+        some, m = nodes[lo : lo + QUERY_BLOCK], count[lo : lo + QUERY_BLOCK]
+        fresh = np.full((len(some), int(m.max())), -1, np.int64)
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        fresh[np.repeat(np.arange(len(some)), m), at] = source[begin[lo] : begin[lo] + m.sum()]
+        cand = _once(np.concatenate([out[some, : 2 * LINKS].astype(np.int64), fresh], 1))
+        sim = _similar(x, some, cand)
+        if cand.shape[1] > 4 * LINKS:  # a hub is met by many at once: the nearest ones are enough to choose from
+            best = np.argsort(-np.where(cand < 0, -np.inf, sim), axis=1, kind="stable")[:, : 4 * LINKS]
+            cand, sim = np.take_along_axis(cand, best, 1), np.take_along_axis(sim, best, 1)
+        full = (cand >= 0).sum(1) > 2 * LINKS
+        kept = np.full((len(some), 2 * LINKS), -1, np.int64)
+        if full.any():
+            picked = _choose(x, cand[full], sim[full], 2 * LINKS, 2 * LINKS)
+            kept[np.flatnonzero(full)[:, None], np.arange(picked.shape[1])] = picked
+        few = np.flatnonzero(~full)
+        first = np.argsort(cand[few] < 0, axis=1, kind="stable")[:, : 2 * LINKS]
+        kept[few[:, None], np.arange(first.shape[1])] = np.take_along_axis(cand[few], first, 1)
+        out[some, : 2 * LINKS] = kept
+
+
+def _reach(out: np.ndarray, seen: np.ndarray, front: np.ndarray) -> None:
+    while len(front):
+        seen[front] = True
+        after = np.unique(out[front])
+        after = after[after >= 0]
+        front = after[~seen[after]]
+
+
+def _bridge(x: np.ndarray, out: np.ndarray, graph: dict) -> None:
+    """Links to and from what can't be reached from the first row, in places kept for that."""
+    seen = np.zeros(len(x), bool)
+    _reach(out, seen, np.arange(min(1, len(x))))
+    while not seen.all():
+        u = int(np.flatnonzero(~seen)[0])
+        near = _beam(graph, 0, x[u : u + 1], np.zeros((1, 1), np.int64), CANDIDATES)[0]
+        near = near[near >= 0]
+        free = near[(out[near, 2 * LINKS :] < 0).any(1)][:4]
+        if not len(free):  # all bridges near are taken
+            free = np.flatnonzero(seen & (out[:, 2 * LINKS :] < 0).any(1))[:1]
+        for v in free.tolist():
+            out[v, 2 * LINKS + int(np.argmax(out[v, 2 * LINKS :] < 0))] = u
+        back = np.flatnonzero(out[u, 2 * LINKS :] < 0)
+        if len(back):
+            out[u, 2 * LINKS + back[0]] = free[0]
+        _reach(out, seen, np.array([u]))
+
+
 def build(vectors: np.ndarray, names: np.ndarray, norm: float) -> dict[str, np.ndarray]:
     """Flat arrays of a shard's graph; the same rows give the same graph."""
     x = vectors.astype(np.float64)
@@ -84,17 +158,30 @@ def build(vectors: np.ndarray, names: np.ndarray, norm: float) -> dict[str, np.n
     level = _levels(names)
     top = int(level.max(initial=0))
     out = {"vectors": vectors, "points": x, "levels": np.array([top])}
-    for i in range(top + 1):
-        members = np.flatnonzero(level >= i)
-        out[f"members{i}"] = members.astype(np.int32)
-        own = _links(x[members])
-        out[f"links{i}"] = np.where(own >= 0, members[own], -1).astype(np.int32)
-        where = np.full(len(x), -1, np.int32)
+    order = np.lexsort((H.mix(names.astype(np.int64).view(np.uint64), 92), -level))  # nodes of higher levels come first
+    for i in range(top, -1, -1):
+        members = order[: int((level >= i).sum())]
+        where = np.full(len(x) + 1, -1, np.int32)
         where[members] = np.arange(len(members))
-        out[f"where{i}"] = where
+        entry = np.full((len(members), 0), -1, np.int64)
+        if i < top:  # the finished levels above lead to where the search of this level begins
+            found = [_descend(out, x[members[lo : lo + QUERY_BLOCK]], i, 8)[:, :4] for lo in range(0, len(members), QUERY_BLOCK)]
+            entry = where[np.concatenate(found)].astype(np.int64)
+        own = _links(x[members], entry)
+        out[f"members{i}"], out[f"where{i}"] = members.astype(np.int32), where[:-1]
+        out[f"links{i}"] = np.where(own >= 0, members[own], -1).astype(np.int32)
     return out
 
 
+def _descend(graph: dict, q: np.ndarray, level: int, width: int) -> np.ndarray:
+    """Nodes nearest to each query on the level above ``level``, from the first node of the top."""
+    top = int(graph["levels"][0])
+    entry = np.broadcast_to(graph[f"members{top}"][:1].astype(np.int64), (len(q), 1))
+    for i in range(top, level, -1):
+        entry = _beam(graph, i, q, entry, width)
+    return entry
+
+
 def _beam(graph: dict, level: int, q: np.ndarray, entry: np.ndarray, width: int) -> np.ndarray:
     """The best ``width`` nodes found on a level for each query, best first (-1 where there are fewer)."""
     x, links, where = graph["points"], graph[f"links{level}"], graph[f"where{level}"]
@@ -137,10 +224,7 @@ def _beam(graph: dict, level: int, q: np.ndarray, entry: np.ndarray, width: int)
 def find(graph: dict, queries: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """The k nodes of largest inner product found for each query (-1 where there are fewer), and the products in double precision."""
     q = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
-    top = int(graph["levels"][0])
-    entry = np.broadcast_to(graph[f"members{top}"][:1].astype(np.int64), (len(q), 1))
-    for level in range(top, 0, -1):
-        entry = _beam(graph, level, q, entry, 24)
+    entry = _descend(graph, q, 0, 24)
     nodes = _beam(graph, 0, q, entry, max(beam, 2 * k))
     x = graph["vectors"].astype(np.float64)
     score = np.einsum("ad,ard->ar", queries.astype(np.float64), x[np.maximum(nodes, 0)])
@@ -181,6 +265,9 @@ def _load(folder: str, path: str) -> dict[str, np.ndarray]:
         return {k: arrays[k] for k in arrays.files}
 
 
+kept("graph", _load.cache_clear)
+
+
 def _search(folder: str, k: int):
     def run(table: pa.Table) -> pa.Table:
         graph = _load(folder, table.column("path")[0].as_py())
