@@ -2,8 +2,9 @@
 
 A store is a folder: ``data`` holds Parquet shards that never change, ``manifest`` one JSON file for each version, which
 lists the shards that are part of it. A version becomes visible by one rename that fails if the version exists already, so
-readers see either the old set of shards or the new one, and of two writers one has to start again. Files of a job that
-died belong to no version.
+readers see either the old set of shards or the new one, and of two writers one has to start again. The rename is one step
+on HDFS; on a local disk or an object store it is a check and a rename, so writers there need a lock of their own. Files of
+a job that died belong to no version.
 
 Appending adds many small shards. Compaction sorts shards into tiers by size (each ``fanout`` times the one below) and
 merges a tier that has ``fanout`` shards or more into files of the target size; sources and rows are never regrouped, so a
@@ -118,10 +119,12 @@ class ShardStore:
             names = tiers[ready[0]]
             total = sum(now["shards"][x] for x in names)
             merged = self._read(names, now["schema"]).coalesce(max(1, math.ceil(total / target)))
+            made = self._write(merged)
             try:
-                self.commit(base, self._write(merged), names, now["schema"])
-            except CommitConflict:
-                continue
+                self.commit(base, made, names, now["schema"])
+            except CommitConflict:  # the files of the lost race belong to no version
+                for x in made:
+                    self._fs().delete(self._path(x), False)
 
     def _read(self, names: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*(f"{self.root}/{x}" for x in names))
