@@ -77,6 +77,16 @@ def forward(p: dict[str, np.ndarray], h: np.ndarray, bounds: np.ndarray):
     return _sigmoid(z @ p["c"] + p["b"]), (h, t, g, a, z)
 
 
+def gradient(p: dict[str, np.ndarray], h: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the bags' mean cross-entropy."""
+    score, (x, t, g, a, z) = forward(p, h, bounds)
+    n, d = np.diff(bounds), (score - y) / len(y)
+    da = (x @ p["c"]) * np.repeat(d, n)
+    de = a * (da - np.repeat(np.add.reduceat(a * da, bounds[:-1]), n))
+    dt, dg = np.outer(de, p["w"]) * g * (1 - t * t), np.outer(de, p["w"]) * t * g * (1 - g)
+    return {"V": x.T @ dt, "U": x.T @ dg, "w": (t * g).T @ de, "c": z.T @ d, "b": np.array([d.sum()])}
+
+
 def _scored(p: dict[str, np.ndarray], h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return forward(p, (h - p["mean"]) * p["scale"], bounds)[0]
 
@@ -97,12 +107,7 @@ def fit(h: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = 10, batc
             some = order[lo : lo + batch]
             rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in some])
             own = np.concatenate([[0], np.cumsum(n[some])])
-            score, (x, t, g, a, z) = forward(p, h[rows], own)
-            d = (score - y[some]) / len(some)
-            da = (x @ p["c"]) * np.repeat(d, n[some])
-            de = a * (da - np.repeat(np.add.reduceat(a * da, own[:-1]), n[some]))
-            dt, dg = np.outer(de, p["w"]) * g * (1 - t * t), np.outer(de, p["w"]) * t * g * (1 - g)
-            grad = {"V": x.T @ dt, "U": x.T @ dg, "w": (t * g).T @ de, "c": z.T @ d, "b": np.array([d.sum()])}
+            grad = gradient(p, h[rows], own, y[some])
             step += 1
             for k in learned:
                 q = grad[k] + decay * p[k] * (k != "b")
