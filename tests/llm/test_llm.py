@@ -68,6 +68,7 @@ def test_jaccard_hard_inputs(spark):
 @pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
 def test_jaccard_brute_force(spark, k, percent, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "MORE_CANDIDATES", 2)  # several rounds
     rng = np.random.default_rng(k)
     words = [f"w{i}" for i in range(300)]
     passage = list(rng.choice(words, 40))
@@ -268,6 +269,7 @@ def test_quality(spark):
     got = quality.score_quality(docs, labels).join(labels, "doc_id").toPandas()
     assert ((got.score >= 0.3).astype(int) == got.predicted).all() and got.score.between(0, 1).all()
     assert (got[~got.held_out].predicted == got[~got.held_out].quality).mean() > 0.95
+    assert got.held_out.sum() > 10 and (got[got.held_out].predicted == got[got.held_out].quality).mean() > 0.9
     hard = quality.score_quality(docs_of(spark, HARD), labels.limit(0)).collect()
     assert {r.score for r in hard} == {0.5} and len(hard) == len(HARD)
     odd = spark.createDataFrame([(4, 1, 0), (4, None, 0), (None, 1, 0), (7, 0, 1), (7, 1, 1), (99, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
@@ -276,8 +278,8 @@ def test_quality(spark):
     assert quality.score_quality(docs_of(spark, []), labels).count() == 0
 
 
-def test_attention_gradient():
-    """The learned weights follow the loss's gradient: a step lowers it, and bags with one bad passage are found."""
+def test_attention_finds_passages():
+    """Bags with one bad passage are found from the bags' labels alone."""
     rng = np.random.default_rng(6)
     bags, y = [], []
     for i in range(300):
@@ -420,16 +422,16 @@ def test_html_layout():
     r = html_text.render
     assert r(None) == r("") == r("<!-- x -->") == ""
     assert r("a<b>b</b> c\n d") == "ab c d"
-    assert r("<p>one<p>two<div>three</div>four<br>five") == "one\n\ntwo\nthree\nfour\nfive" or r("<p>one<p>two<div>three</div>four<br>five") == "one\n\ntwo\n\nthree\nfour\nfive"
+    assert r("<p>one<p>two<div>three</div>four<br>five") == "one\n\ntwo\n\nthree\nfour\nfive"
     assert r("<ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul>") == "- a\n- b\n  3. c\n  4. d"
     assert r("<table><tr><th>Name<th>N<tr><td>long name<td>1<tr><td>x<td>22</table>") == "Name       N\nlong name  1\nx          22"
-    assert r("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td colspan=2>wide one</table>") == "a         b\n          c\nwide one" or r("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td colspan=2>wide one</table>").startswith("a  b")
+    assert r("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td colspan=2>wide one</table>") == "a  b\n   c\nwide one"
     assert r("<pre>a\n  b</pre>") == "a\n  b"
     assert r("<title>t</title><style>s</style>x<script>if (a<b) '</p>'</script>y<template>z</template>") == "xy"
     assert r("a<span hidden>b</span><i style='DISPLAY : none'>c<b>d</b></i>e<div style='visibility:hidden'>f</div>") == "ae"
     assert r("<details><summary>s</summary>no<p>no</p></details><details open><summary>t</summary>yes</details>") == "s\nt\nyes"
     assert r("&lt;p&gt; &amp;copy; &eacute;&#233;&nbsp;x") == "<p> &copy; éé x"
-    assert r("</p></div>a<td>b</table><li>c") and r("<") == "<" and r("a < b") == "a < b"
+    assert r("</p></div>a<td>b</table><li>c") == "ab\n- c" and r("<") == "<" and r("a < b") == "a < b"
 
 
 def test_html_raw_text_ends_where_it_does():
