@@ -116,8 +116,7 @@ def discard_work(spark: SparkSession, keep: list[str] | None = None) -> int:
     """
     gone = [x for x in _WORK if x not in set(keep or [])]
     for x in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(x)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        discard(spark, x)
         _WORK.remove(x)
     return len(gone)
 
@@ -128,6 +127,12 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI (``file://``, ``file:/``, ``hdfs://``, ``s3://``) or of an absolute path."""
     if uri.startswith("file:/") and not uri.startswith("file://"):

@@ -3,17 +3,24 @@
 Every text becomes the set of its distinct word shingles (hashed to 64 bits). Shingles are dealt to the segments of a
 sketch and XORed there: a shingle that only one of two sets holds changes one segment (and one bit of a plain bit
 sketch), so the number of segments (or bits) that differ bounds the symmetric difference from below. Sets that link have
-a symmetric difference of at most d, a number fixed by the sizes of their band; with more than d segments at least one is
-equal (pigeonhole), so equal segments are joined, size band by size band. Candidates pass a Hamming test on bit sketches
-and are then verified on the whole sets. The result is exact, apart from collisions of 64-bit hashes.
+a symmetric difference of at most d, a number fixed by the largest size of their band; with more than d segments at least one is
+equal (pigeonhole), so equal segments are joined, size band by size band: the segments find candidates, the plain bit
+sketch only filters them by Hamming distance, and what is left is verified on the whole sets. The result is exact, apart
+from collisions of 64-bit hashes.
+
+An empty segment says nothing, so it is no key: bands have so many segments that it is rare for a set to have as many empty
+ones as must equal a partner's. Small sets can't have that, so they are dealt several times, by other hashes; a set joins
+by empty segments only if all its segmentations fail it.
 
 No bucket is expanded into its pairs. Equal sets form one class first. Then each bucket links its members with its
-smallest one only, verified links are contracted to components, and just those buckets that still hold several components
-are compared between components, in blocks of a bounded size.
+smallest one only, and verified links are contracted to components. Buckets that still hold several components are compared
+between components, in blocks of a bounded size; of the candidates between two components only the likeliest are verified,
+and more of them in another round if those don't link.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -22,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelake.llm import hashing as H
-from allelake.llm.common import chunks, mapped, stage, work_dir
+from allelake.llm.common import chunks, discard, mapped, stage, work_dir
 from allelake.llm.components import connected_components
 
 U = np.uint64
@@ -32,6 +39,10 @@ BAND_RATIO = 1.6
 BLOCK = 512
 #: Candidate ids up to this many bytes are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
+#: Segments and segmentations of a band are so many that a set joins by empty segments with at most this chance.
+EMPTY_CHANCE = 1e-6
+#: Candidates that a block gives for two components in the first round, and by how much more in each round that follows.
+FIRST_CANDIDATES, MORE_CANDIDATES = 1, 4_096
 
 
 def bands(most: int) -> np.ndarray:
@@ -42,13 +53,48 @@ def bands(most: int) -> np.ndarray:
     return np.array(lows, np.int64)
 
 
-def segments(lows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each band: the largest symmetric difference of two sets that link, and the number of segments."""
-    highs = lows[1:] - 1
-    total = highs + (100 * highs) // percent
-    differ = (100 - percent) * total // (100 + percent)
-    spare = 0.03 * (differ + 1)
-    return differ, differ + 2 + np.ceil(spare + 2 * np.sqrt(spare)).astype(np.int64)
+def difference(n: np.ndarray | int, percent: int):
+    """The largest symmetric difference that a set of n shingles has with any set it links with."""
+    return (100 - percent) * (n + 100 * n // percent) // (100 + percent)
+
+
+def _log_chance(n: int, parts: int, differ: int) -> float:
+    """Logarithm of a bound of the chance that n shingles use no more than ``differ`` of the segments."""
+    if not differ:
+        return -math.inf
+    union = math.lgamma(parts + 1) - math.lgamma(differ + 1) - math.lgamma(parts - differ + 1) + n * math.log(differ / parts)
+    empty, least = parts * math.exp(-n / parts), parts - differ
+    return min(0.0, union, -empty + least * (1 + math.log(empty / least)) if 0 < empty < least else -math.inf if not empty else 0.0)
+
+
+def _worst(low: int, high: int, parts: int, percent: int) -> float:
+    sizes = range(low, high + 1) if high < 100 else np.linspace(low, high, 9).astype(np.int64).tolist()
+    return max(_log_chance(n, parts, difference(n, percent)) for n in sizes)
+
+
+@functools.lru_cache(maxsize=8)
+def _plan(lows: tuple[int, ...], percent: int) -> tuple[list[int], list[int], list[int]]:
+    differ, parts, deals, wanted = [], [], [], math.log(EMPTY_CHANCE)
+    for low, high in zip(lows[:-1], (x - 1 for x in lows[1:]), strict=True):
+        d = difference(high, percent)
+        p, extra = d + 1, 0
+        while d and extra < 64 + d // 4 and _worst(low, high, p, percent) > wanted:  # more segments: more may be equal
+            extra = max(extra + 1, extra * 9 // 8)
+            p = d + 1 + extra
+        if d and _worst(low, high, p, percent) > wanted or extra > 8 + d // 4:  # a small set leaves too many empty
+            p = 2 * d + 2
+        worst = _worst(low, high, p, percent) if d else -math.inf
+        differ.append(d)
+        parts.append(p)
+        deals.append(1 if worst <= wanted else min(8, math.ceil(wanted / min(worst, -1.0))))
+    return differ, parts, deals
+
+
+def segments(lows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each band: the largest symmetric difference of two sets that link, the number of segments, and that of
+    segmentations. They are so many that a set whose equal segments may all be empty, in every segmentation, is rarer
+    than ``EMPTY_CHANCE``."""
+    return tuple(np.array(x, np.int64) for x in _plan(tuple(lows.tolist()), percent))
 
 
 def sketch_bits(n: np.ndarray) -> np.ndarray:
@@ -101,7 +147,7 @@ def _key_batches(k: int, percent: int):
     def run(batches):
         seen: set[tuple[int, int]] = set()
         lows = bands(1 << 40)
-        differ, parts = segments(lows, percent)
+        _, parts, deals = segments(lows, percent)
         highs = lows[1:] - 1
         for batch in batches:
             for lo, _, tokens, bounds in _sets(batch, k):
@@ -124,28 +170,39 @@ def _key_batches(k: int, percent: int):
                 ids = batch.column("doc_id").slice(lo).to_numpy(zero_copy_only=False)
                 step = max(1, int((1 << 19) // max(1, int(np.diff(bounds).mean()))))
                 for s in range(0, len(doc), step):
-                    yield _keys_of(tokens, bounds, doc[s : s + step], band[s : s + step], differ, parts, ids)
+                    yield from _keys_of(tokens, bounds, doc[s : s + step], band[s : s + step], percent, parts, deals, ids)
 
     return run
 
 
-def _keys_of(tokens, bounds, doc, band, differ, parts, ids) -> pa.RecordBatch:
+def _keys_of(tokens, bounds, doc, band, percent, parts, deals, ids):
+    """Keys of the documents (some in two bands); a band's later segmentations are for sets that may need them and their partners."""
+    empty_so_far = np.ones(len(doc), bool)  # whether all equal segments may be empty, in every segmentation so far
+    for deal in range(int(deals[band].max(initial=0))):
+        here = np.flatnonzero(deals[band] > deal)
+        last = deals[band[here]] == deal + 1
+        batch, may = _keys_of_deal(tokens, bounds, doc[here], band[here], percent, parts, ids, deal, last & empty_so_far[here])
+        empty_so_far[here] &= may
+        yield batch
+
+
+def _keys_of_deal(tokens, bounds, doc, band, percent, parts, ids, deal: int, empty_keys: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
     sizes, n_parts = (bounds[1:] - bounds[:-1])[doc], parts[band]
     which = np.repeat(np.arange(len(doc)), sizes)
     within = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     t = tokens[bounds[doc][which] + within]
     at = np.concatenate([[0], np.cumsum(n_parts)])
-    part = ((H.mix(t, 31) >> U(32)) * n_parts[which].astype(U) >> U(32)).astype(np.int64) + at[which]
+    part = ((H.mix(t, 31 + 100 * deal) >> U(32)) * n_parts[which].astype(U) >> U(32)).astype(np.int64) + at[which]
     xor = np.zeros(at[-1], U)
     np.bitwise_xor.at(xor, part, H.mix(t, 32))
     used = np.bincount(part, minlength=at[-1]) > 0
     row = np.repeat(np.arange(len(doc)), n_parts)
-    # Equal segments number n_parts - differ at least: where a set has as many empty ones, those must be joined as well.
-    empties = np.bincount(row, weights=~used, minlength=len(doc))
-    emit = used | (empties >= n_parts - differ[band])[row]
+    # At least n_parts - difference segments equal a partner's: where a set has as many empty ones, those may be all of them.
+    may = np.bincount(row, weights=~used, minlength=len(doc)) >= n_parts - difference(sizes, percent)
+    emit = used | (may & empty_keys)[row]
     number = np.arange(at[-1]) - at[:-1][row]
-    key = H.mix(xor ^ H.mix((band[row].astype(U) << U(40)) + number.astype(U), 33), 34)[emit]
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc[row[emit]]], pa.int64())], ["key", "doc_id"])
+    key = H.mix(xor ^ H.mix((band[row].astype(U) << U(40)) + U(deal << 32) + number.astype(U), 33), 34)[emit]
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc[row[emit]]], pa.int64())], ["key", "doc_id"]), may
 
 
 def _bucket_batches(batches):
@@ -230,7 +287,20 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def _compare_block(percent: int):
+def _likeliest(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, share: np.ndarray, most: int) -> pa.Table:
+    """Of the candidates between two components the ``most`` nearest ones, and whether there are more of them."""
+    low, high = np.minimum(ca, cb), np.maximum(ca, cb)
+    order = np.lexsort((b, a, share, high, low))
+    low, high = low[order], high[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(order)))
+    keep = np.arange(len(order)) - np.repeat(head, size) < most
+    return pa.table({"a": a[order][keep], "b": b[order][keep], "more": (np.repeat(size, size) > most)[keep]})
+
+
+def _compare_block(percent: int, most: int):
     """Pairs of one block (or of two blocks of one bucket) that lie in different components and pass the Hamming test."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -238,7 +308,7 @@ def _compare_block(percent: int):
         node, comp, n, block = (table.column(x).to_numpy()[order] for x in ("node", "component", "n", "block"))
         within = table.column("left")[0].as_py() == table.column("right")[0].as_py()
         sketch = _folded(table.column("sketch").to_pylist())[order]
-        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found, share = [np.zeros((2, 0), np.int64)], [np.zeros(0)]
         for i in range(len(node) - 1):
             j = slice(i + 1, None)
             near = (comp[j] != comp[i]) & (node[j] != node[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
@@ -247,10 +317,11 @@ def _compare_block(percent: int):
             near = i + 1 + np.flatnonzero(near)
             if len(near):
                 bits = np.bitwise_count(sketch[near] ^ sketch[i]).sum(1, dtype=np.int64)
-                near = near[bits <= (100 - percent) * (n[near] + n[i]) // (100 + percent)]
-                a_out.append(np.full(len(near), node[i]))
-                b_out.append(node[near])
-        return pa.table({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
+                good = bits <= (100 - percent) * (n[near] + n[i]) // (100 + percent)
+                found.append(np.stack([np.full(good.sum(), i), near[good]]))
+                share.append(bits[good] / (n[near[good]] + n[i]))
+        i, j = np.concatenate(found, 1)
+        return _likeliest(node[i], node[j], comp[i], comp[j], np.concatenate(share), most)
 
     return run
 
@@ -289,14 +360,28 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, name: str
         .join(node_of.withColumnRenamed("doc_id", "pivot").withColumnRenamed("node", "a"), "pivot").select("key", "a", "b").where("a <> b")
     )
     named = stage(named, f"{path}/buckets")
+    discard(spark, f"{path}/raw_buckets")
 
     tested = stage(_links(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), heads, docs, k, percent, f"{path}/stars"), f"{path}/star_links")
-    first = stage(connected_components(tested.union(twice), f"{path}/first"), f"{path}/components")
-    rest = stage(_links(_unresolved(named, first, heads, percent, path), heads, docs, k, percent, f"{path}/rest"), f"{path}/rest_links")
-    if rest.isEmpty():
-        found = first
-    else:
-        found = connected_components(tested.union(twice).union(rest), f"{path}/second")
+    links = tested.union(twice)
+    found = stage(connected_components(links, f"{path}/first"), f"{path}/components")
+    asked, still, most, step = None, None, FIRST_CANDIDATES, 0
+    while True:
+        step += 1
+        own = f"{path}/round{step}"
+        given = stage(_unresolved(named, found, still, heads, percent, most, own), f"{own}/given")
+        discard(spark, f"{own}/labelled")
+        fresh = given.select("a", "b") if asked is None else given.select("a", "b").join(asked, ["a", "b"], "left_anti")
+        more = stage(_links(fresh, heads, docs, k, percent, own), f"{own}/links")
+        if not more.isEmpty():
+            links = links.union(more)
+            found = stage(connected_components(links, f"{own}/steps"), f"{own}/components")
+        apart = _apart(given.where("more"), found)
+        still = stage(apart.select(F.col("ca").alias("cb")).union(apart.select("cb")).distinct(), f"{own}/still")
+        if still.isEmpty():
+            break
+        asked = given.select("a", "b") if asked is None else asked.union(given.select("a", "b"))
+        most *= MORE_CANDIDATES
     rows = prints.select("doc_id", "n", "f1", "f2").join(classes.withColumnRenamed("node", "in_class"), ["n", "f1", "f2"], "left").join(found.withColumnRenamed("node", "in_class"), "in_class", "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.otherwise(F.coalesce("component", "in_class")).alias("component_id"), own.otherwise(F.col("in_class")).alias("in_class"))
@@ -316,15 +401,27 @@ def _links(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent:
     return both.transform(mapped(_verify(percent), "a long, b long")).distinct()
 
 
-def _unresolved(named: DataFrame, components: DataFrame, heads: DataFrame, percent: int, path: str) -> DataFrame:
-    """Candidates between the components that still share a bucket (a bucket's smallest member is compared already)."""
+def _labelled(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """``pairs`` with the components ``ca`` and ``cb`` of a and b."""
     label = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    full = named.distinct().join(label("a"), "a", "left").join(label("b"), "b", "left").select("key", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    full = stage(full, f"{path}/labelled")
+    return pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+
+
+def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    return _labelled(pairs, components).where("ca <> cb")
+
+
+def _unresolved(named: DataFrame, components: DataFrame, still: DataFrame | None, heads: DataFrame, percent: int, most: int, path: str) -> DataFrame:
+    """Candidates between the components that still share a bucket (a bucket's smallest member is compared already): a, b,
+    and whether a block had more than the ``most`` given for these two components. ``still`` are the components to compare
+    (default: all)."""
+    full = _labelled(named.distinct(), components).select("key", "b", "cb")
+    full = stage(full if still is None else full.join(still, "cb", "left_semi").select("key", "b", "cb"), f"{path}/labelled")
     open_keys = full.groupBy("key").agg(F.count("*").alias("m"), F.min("cb").alias("low"), F.max("cb").alias("high")).where("m >= 2 and low <> high")
     rows = full.join(open_keys, "key").select("key", F.col("b").alias("node"), F.col("cb").alias("component"), "m")
     n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     rows = rows.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "component")
     rows = rows.join(heads.select("node", "n", "sketch"), "node").select("key", "left", "right", "block", "node", "component", "n", "sketch")
-    return rows.groupBy("key", "left", "right").applyInArrow(_compare_block(percent), "a long, b long").distinct()
+    pairs = rows.groupBy("key", "left", "right").applyInArrow(_compare_block(percent, most), "a long, b long, more boolean")
+    return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))

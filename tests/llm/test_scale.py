@@ -20,11 +20,11 @@ from tests.llm.test_llm import HARD, D, docs_of, table
 def test_short_texts_fill_no_bucket():
     """Unrelated texts of a few words share no key, though most of a small set's segments are empty."""
     rng = np.random.default_rng(1)
-    for words in (5, 7, 12, 16, 30):
-        text = [" ".join(f"w{v}" for v in row) for row in rng.integers(0, 10**9, (20_000, words))]
-        batch = pa.record_batch({"doc_id": pa.array(range(20_000)), "text": text})
-        keys = np.concatenate([x.column("key").to_numpy() for x in jaccard_join._key_batches(4, 85)([batch])])
-        assert np.unique(keys, return_counts=True)[1].max() <= 24, words
+    for words, percent in [(w, p) for w in (5, 7, 9, 12, 16, 30, 70, 150) for p in (80, 85)]:
+        text = [" ".join(f"w{v}" for v in row) for row in rng.integers(0, 10**9, (5_000, words))]
+        batch = pa.record_batch({"doc_id": pa.array(range(5_000)), "text": text})
+        keys = np.concatenate([x.column("key").to_numpy() for x in jaccard_join._key_batches(4, percent)([batch])])
+        assert np.unique(keys, return_counts=True)[1].max() <= 8, (words, percent)
 
 
 def test_short_texts_still_link(spark):
@@ -42,9 +42,9 @@ def test_short_texts_still_link(spark):
             for x in (np.sort(a), np.sort(b)):
                 own = np.searchsorted(lows, len(x), "right") - 1
                 band = np.array([own, max(0, own - 1)][: 1 + (own > 0 and 100 * (lows[own] - 1) >= 85 * len(x))])
-                differ, parts = jaccard_join.segments(lows, 85)
+                _, parts, deals = jaccard_join.segments(lows, 85)
                 doc = np.zeros(len(band), np.int64)
-                out = jaccard_join._keys_of(x, np.array([0, len(x)]), doc, band, differ, parts, jaccard_join.segmentations(lows, 85), np.array([1]))
+                out = jaccard_join._keys_of(x, np.array([0, len(x)]), doc, band, 85, parts, deals, np.array([1]))
                 found.append(set(np.concatenate([y.column("key").to_numpy() for y in out]).tolist()))
             assert found[0] & found[1], n
 
