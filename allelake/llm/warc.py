@@ -2,18 +2,20 @@
 
 Writing: every page is one record of its own gzip member; a page whose payload equals that of a later page (and is long
 enough) becomes a revisit record that refers to it. Indexing: every archive is read back, record by record, into index
-entries that are sorted locally and written as runs. The runs are merged by URL key and time with a loser tree: the key
-space is cut into ranges, a task merges one range of up to ``FAN_IN`` runs from their row groups, one row group of each run
-in memory, and passes repeat until one run of each range is left. One URL may hold any share of the captures, as ranges are
-cut in the whole key (URL key, time, page).
+entries that are sorted locally and written as runs. The runs are merged by URL key and time with a loser tree, in passes:
+a team of ``FAN_IN`` runs becomes one run, cut in ranges of its own keys of about ``RANGE_ROWS`` rows; a task merges one
+range of one team, one row group of each run in memory. So every pass reads and writes each row group about once, however
+many runs there are, and the driver sees none of them; the cuts come from the runs' sparse index (one row for
+``GROUP_ROWS`` records), which a sort of Spark orders. One URL may hold any share of the captures, as ranges are cut in the
+whole key (URL key, time, page).
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 import datetime
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -22,11 +24,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from allelake.llm.common import filesystem, mapped, stage, work_dir
 
-ARCHIVE_BYTES, RUN_ROWS, GROUP_ROWS, RANGE_ROWS, FAN_IN, SAMPLES = 64 << 20, 200_000, 2_048, 32_768, 64, 16
+ARCHIVE_BYTES, RUN_ROWS, GROUP_ROWS, RANGE_ROWS, FAN_IN = 64 << 20, 200_000, 2_048, 262_144, 64
 REVISIT_BYTES = 1_000
 #: Digests of payloads that occur more than once are broadcast up to this many bytes, and joined by a shuffle beyond.
 BROADCAST_BYTES = 16 << 20
@@ -253,19 +256,21 @@ def _run_rows(fs, path: str, groups: list[int], low: tuple | None, high: tuple |
                     yield row
 
 
-def _merge(folder: str, splits, last: bool):
-    schema = ENTRY.append(pa.field("range", pa.int32())) if last else _RUNS.append(pa.field("range", pa.int32())).append(pa.field("number", pa.int64()))
+def _merge(folder: str, last: bool):
+    schema = ENTRY.append(pa.field("range", pa.int32())) if last else _RUNS.append(pa.field("part", pa.int32())).append(pa.field("number", pa.int64()))
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
-        part = key[0].as_py()
-        cuts = splits.value
-        low, high = cuts[part - 1] if part else None, cuts[part] if part < len(cuts) else None
-        groups: dict[tuple, list[int]] = {}
+        team, part = (x.as_py() for x in key)
+        low = high = None
+        runs: dict[int, dict[tuple, list[int]]] = {}
         for batch in batches:
-            for n, r, g in zip(batch.column("number").to_pylist(), batch.column("run").to_pylist(), batch.column("group").to_pylist(), strict=True):
-                groups.setdefault((n, r), []).append(g)
-        merged = iter(LoserTree([_run_rows(fs, r, sorted(g), low, high) for (_, r), g in sorted(groups.items())], _key))
+            for n, p, r, g, a, b in zip(*(batch.column(c).to_pylist() for c in ("number", "part", "run", "group", "low", "high")), strict=True):
+                runs.setdefault(n, {}).setdefault((p, r), []).append(g)
+                low, high = tuple(a.values()), None if b is None else tuple(b.values())
+        # The files of one run follow each other, so a run is one stream.
+        streams = [itertools.chain.from_iterable(_run_rows(fs, r, sorted(g), low, high) for (_, r), g in sorted(files.items())) for _, files in sorted(runs.items())]
+        merged = iter(LoserTree(streams, _key))
         if last:
             rows = []
             for row in merged:
@@ -275,11 +280,32 @@ def _merge(folder: str, splits, last: bool):
                     rows = []
             yield _as_batch(rows, schema)
         else:
-            yield _as_batch([(*x, part, key[1].as_py()) for x in _write_run(fs, root, merged)], schema)
+            yield _as_batch([(*x, part, team) for x in _write_run(fs, root, merged)], schema)
 
     return run
 
 
+def placed(index: DataFrame, folder: str) -> DataFrame:
+    """The row groups that each range of each team of ``FAN_IN`` runs meets: one row for each, with the range's bounds.
+
+    ``index`` has a row for each row group (number of the run, part, run: its file, group, rows, first key). A team's keys
+    are cut where the rows of the groups that begin before come to another ``RANGE_ROWS``. A group is met by the ranges from
+    that of its first key to that of the next group's, so a pass reads a group as often as it spans ranges.
+    """
+    first = F.struct("url_key", "captured", F.col("page_id").isNotNull().alias("known"), F.coalesce("page_id", F.lit(0)).alias("page"))
+    rows = index.withColumn("team", F.floor(F.col("number") / FAN_IN)).withColumn("first", first)
+    before = F.sum("rows").over(W.partitionBy("team").orderBy("first").rangeBetween(W.unboundedPreceding, W.currentRow))  # equal keys alike
+    rows = rows.withColumn("begin", F.floor((before - 1) / RANGE_ROWS).cast("int"))
+    end = F.coalesce(F.lead("begin").over(W.partitionBy("team", "number").orderBy("part", "group")), F.max("begin").over(W.partitionBy("team")))
+    rows = stage(rows.select("team", "number", "part", "run", "group", "first", "begin", end.alias("end")), folder)
+    cuts = rows.groupBy("team", F.col("begin").alias("range")).agg(F.min("first").alias("low"))
+    cuts = cuts.withColumn("high", F.lead("low").over(W.partitionBy("team").orderBy("range")))
+    met = rows.select("team", "number", "part", "run", "group", F.explode(F.sequence("begin", "end")).alias("range"))
+    ranges = rows.select("team", "begin").distinct().count()
+    # A number of its own, as the rows are few but the work behind each is not.
+    return met.join(cuts, ["team", "range"]).repartition(max(1, ranges), "team", "range")
+
+
 def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives in ``folder``; gives (archive, records, bytes) of each."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
@@ -293,45 +319,17 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) ->
 
 def merged_index(archives: DataFrame, folder: str) -> DataFrame:
     """Index entries of all records of ``archives``, read from the files: ordered by (range, URL key, time, page)."""
-    spark = archives.sparkSession
     spread = archives.select("archive").repartition(max(1, archives.count()), "archive")
     runs = stage(spread.transform(mapped(_sorted_runs(f"{folder}/runs"), RUNS)), f"{folder}/sparse")
-    total = runs.agg(F.sum("rows")).first()[0] or 0
-    ranges = max(1, -(-total // RANGE_ROWS))
-    # The cuts only balance the work: a bounded number of keys for each range is enough.
-    sample = sorted(_key((r["url_key"], r["captured"], r["page_id"])) for r in runs.select("url_key", "captured", "page_id", "run", "group").orderBy(F.xxhash64("run", "group")).limit(SAMPLES * ranges).collect())
-    cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
-    splits = spark.sparkContext.broadcast(cuts)
-
-    def place(batches):
-        """The ranges that each row group meets, given the first key of the next one."""
-        for batch in batches:
-            out = []
-            for run, group, a, b, c, x, y, z, more in zip(*(batch.column(n).to_pylist() for n in ("run", "group", "url_key", "captured", "page_id", "next_url", "next_captured", "next_page", "more")), strict=True):
-                first = bisect.bisect_right(splits.value, _key((a, b, c)))
-                final = bisect.bisect_right(splits.value, _key((x, y, z))) if more else len(splits.value)
-                out += [(run, group, r) for r in range(first, final + 1)]
-            yield _as_batch(out, pa.schema([("run", pa.string()), ("group", pa.int32()), ("range", pa.int32())]))
-
-    after = "over (partition by run order by group)"
-    follow = runs.selectExpr("*", f"lead(url_key) {after} as next_url", f"lead(captured) {after} as next_captured", f"lead(page_id) {after} as next_page", f"lead(1) {after} is not null as more")
-    todo = follow.transform(mapped(place, "run string, group int, range int"))
-    # Runs are numbered by their place in a list of runs alone (one row for a run of up to RUN_ROWS records).
-    names = sorted(r[0] for r in runs.select("run").distinct().collect())
-    number = {n: i for i, n in enumerate(names)}
-    numbers = spark.sparkContext.broadcast(number)
-
-    def numbered(batches):
-        for batch in batches:
-            yield batch.append_column("number", pa.array([numbers.value[x] for x in batch.column("run").to_pylist()], pa.int64()))
-
-    todo, left, level = todo.transform(mapped(numbered, "run string, group int, range int, number long")), len(names), 0
+    numbers = runs.select("run").distinct().withColumn("number", F.row_number().over(W.orderBy("run")).cast("long") - 1)
+    numbers = stage(numbers, f"{folder}/numbers")
+    index, left, level = runs.withColumn("part", F.lit(0)).join(numbers, "run"), numbers.count(), 0
     while left > FAN_IN:
-        grouped = todo.withColumn("team", F.floor(F.col("number") / FAN_IN)).groupBy("range", "team")
         level += 1
-        written = stage(grouped.applyInArrow(_merge(f"{folder}/runs{level}", splits, False), RUNS + ", range int, number long"), f"{folder}/sparse{level}")
-        todo, left = written.select("run", "group", "range", "number"), -(-left // FAN_IN)
-    final = todo.groupBy("range").applyInArrow(_merge(f"{folder}/final", splits, True), ENTRY_DDL + ", range int")
+        groups = placed(index, f"{folder}/placed{level}").groupBy("team", "range")
+        index = stage(groups.applyInArrow(_merge(f"{folder}/runs{level}", False), RUNS + ", part int, number long"), f"{folder}/sparse{level}")
+        left = -(-left // FAN_IN)
+    final = placed(index, f"{folder}/placed").groupBy("team", "range").applyInArrow(_merge(f"{folder}/final", True), ENTRY_DDL + ", range int")
     return stage(final, f"{folder}/index")
 
 

@@ -384,7 +384,7 @@ def test_url_keys():
 
 
 def test_warc(spark, monkeypatch):
-    for k, v in {"RANGE_ROWS": 40, "GROUP_ROWS": 8, "RUN_ROWS": 16, "FAN_IN": 3, "SAMPLES": 4, "ARCHIVE_BYTES": 20_000}.items():
+    for k, v in {"RANGE_ROWS": 40, "GROUP_ROWS": 8, "RUN_ROWS": 16, "FAN_IN": 3, "ARCHIVE_BYTES": 20_000}.items():
         monkeypatch.setattr(warc, k, v)
     big, other = "x" * 1000, "é" * 600
     rows = [(i, "http://hot.example/", big, "d", 0) for i in range(60)] + [(100, None, None, "d", 0), (101, "", "", None, None), (102, "http://a.b/c d\r\n", "short", "d", 0), (103, "u", "short", "d", 0), (None, "v", other, "d", 0), (104, "v", other, "d", 0), (105, "v", other, "d", 0), (105, "v", other, "d", 0), (106, "w", "<p>\r\n\r\n</p>" * 200, "d", 0)]
@@ -405,6 +405,27 @@ def test_warc(spark, monkeypatch):
     assert warc.capture_histories(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_row_groups_of_a_pass(spark, tmp_path, monkeypatch):
+    """Of any number of runs, a pass meets each row group about once, and no range is much longer than it should be."""
+    for k, v in {"RANGE_ROWS": 1_000, "GROUP_ROWS": 50, "FAN_IN": 4}.items():
+        monkeypatch.setattr(warc, k, v)
+    columns = "number long, part int, run string, group int, rows long, url_key string, captured string, page_id long"
+    for runs in (8, 32):
+        rows = [(n, 0, f"r{n:03}", g, 50, f"u{g:05}", "t", n) for n in range(runs) for g in range(40)]
+        got = warc.placed(spark.createDataFrame(rows, columns), f"{tmp_path}/{runs}").collect()
+        assert {(r.run, r.group) for r in got} == {(r[2], r[3]) for r in rows}
+        assert len(got) <= 1.5 * len(rows)
+        per_range = {}
+        for r in got:
+            per_range[r.team, r["range"]] = per_range.get((r.team, r["range"]), 0) + 50
+            assert r.high is None or r.low < r.high
+        assert max(per_range.values()) <= 1_000 + 2 * 4 * 50 and len({t for t, _ in per_range}) == runs // 4
+    # Groups that all begin with one key are one range.
+    same = [(n, 0, f"r{n}", g, 50, "u", "t", None) for n in range(3) for g in range(40)]
+    got = warc.placed(spark.createDataFrame(same, columns), f"{tmp_path}/same").collect()
+    assert len(got) == 120 and len({r["range"] for r in got}) == 1
+
+
 def test_broken_archive():
     import gzip
     import io
