@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from allelake.llm import hashing as H
 from allelake.llm.common import filesystem, kept, stage, work_dir
 
-#: Nodes of a shard, links of a node, places for bridges, candidates for links, nodes kept during a search, queries of a block.
-SHARD_NODES, LINKS, BRIDGES, CANDIDATES, BEAM, QUERY_BLOCK = 16_384, 20, 4, 64, 256, 256
+#: Nodes of a shard, links of a node, places for bridges, candidates for links, nodes kept during a search, queries of a
+#: block, blocks that a task searches in one shard.
+SHARD_NODES, LINKS, BRIDGES, CANDIDATES, BEAM, QUERY_BLOCK, TASK_BLOCKS = 16_384, 20, 4, 64, 256, 256, 8
 
 
 def _levels(names: np.ndarray) -> np.ndarray:
@@ -312,7 +313,10 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, shard_nodes: in
     sizes = nodes.groupBy("size").agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("norm")).select("size", "norm", F.ceil(F.col("n") / shard_nodes).cast("int").alias("shards"))
     sizes = F.broadcast(stage(sizes, f"{folder}/sizes"))  # a row for each length of vectors
     dealt = nodes.join(sizes, "size").withColumn("shard", F.pmod("hash", F.col("shards")).cast("int"))
-    graphs = dealt.select("size", "shard", "norm", "name", "ids", "embedding").groupBy("size", "shard").applyInArrow(_write_shard(f"{folder}/shards"), "size int, shard int, path string, nodes long")
+    # Numbers of their own for both exchanges: adaptive execution goes by bytes, which say little about graphs and searches.
+    shards = sizes.agg(F.sum("shards")).first()[0] or 1
+    dealt = dealt.select("size", "shard", "norm", "name", "ids", "embedding").repartition(shards, "size", "shard")
+    graphs = dealt.groupBy("size", "shard").applyInArrow(_write_shard(f"{folder}/shards"), "size int, shard int, path string, nodes long")
     graphs = stage(graphs, f"{folder}/graphs")
 
     wanted = rows.where(F.col("vec_id") % every == 0)
@@ -321,7 +325,9 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, shard_nodes: in
     vectors = asked.groupBy("name", "size").agg(F.first("embedding").alias("embedding"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     sent = vectors.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")).join(graphs, "size").select("block", "shard", "size", "path", "name", "embedding")
-    found = sent.groupBy("size", "shard", "block").applyInArrow(_search(f"{folder}/shards", k + 1), "name long, vec_id long, score double")
+    # A task keeps one shard's graph and searches many blocks; a shard may be in several tasks.
+    sent = sent.withColumn("part", F.pmod("block", F.lit(-(-blocks // TASK_BLOCKS)))).repartition(shards * -(-blocks // TASK_BLOCKS), "size", "shard", "part")
+    found = sent.groupBy("size", "shard", "part", "block").applyInArrow(_search(f"{folder}/shards", k + 1), "name long, vec_id long, score double")
     best = W.partitionBy("name").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     pairs = asked.select("query_id", "name").join(found, "name").where("vec_id <> query_id")
