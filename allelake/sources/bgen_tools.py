@@ -53,6 +53,22 @@ def vcf_line(dosages: Column) -> Column:
     return F.array_join(F.transform(dosages, lambda d: F.when(d.isNull(), "./.").when(d < 0.5, "0/0").when(d < 1.5, "0/1").otherwise("1/1")), "\t")
 
 
-def to_vcf(variants: DataFrame) -> DataFrame:
-    """One VCF line per variant, in order of variant_index within partitions."""
-    return variants.select("variant_index", F.concat_ws("\t", "chrom", F.col("genpos").cast("string"), "variant_id", "allele0", "allele1", F.lit("."), F.lit("."), F.lit("."), F.lit("GT"), vcf_line(F.col("dosages"))).alias("value"))
+#: Header lines of a VCF with hard calls and dosages.
+VCF_HEAD = ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Hard call">', '##FORMAT=<ID=DS,Number=1,Type=Float,Description="Dosage of the alternative allele">']
+
+
+def vcf_header(samples: list[str]) -> list[str]:
+    """Header lines of a VCF of these samples."""
+    return [*VCF_HEAD, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
+
+
+def vcf_dosages(dosages: Column) -> Column:
+    """Hard calls and dosages (to six digits), as VCF fields."""
+    value = lambda d: F.concat(vcf_line(F.array(d)), F.lit(":"), F.coalesce(F.format_string("%.6g", d.cast("double")), F.lit(".")))
+    return F.array_join(F.transform(dosages, lambda d: F.when(d.isNull() | F.isnan(d), "./.:.").otherwise(value(d))), "\t")
+
+
+def to_vcf(variants: DataFrame, with_dosages: bool = False) -> DataFrame:
+    """One VCF line per variant, in order of variant_index within partitions; ``vcf_header`` gives the lines before them."""
+    calls = vcf_dosages(F.col("dosages")) if with_dosages else vcf_line(F.col("dosages"))
+    return variants.select("variant_index", F.concat_ws("\t", "chrom", F.col("genpos").cast("string"), "variant_id", "allele0", "allele1", F.lit("."), F.lit("."), F.lit("."), F.lit("GT:DS" if with_dosages else "GT"), calls).alias("value"))

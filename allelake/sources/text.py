@@ -69,11 +69,12 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ld(spark: SparkSession, path: str) -> DataFrame:
-    """Squared correlations of a binary LD file as rows (i, j, r2), i < j, with the variants' names of the .snplist file."""
+    """Squared correlations of a binary LD file as rows (i, j, r2, variant_i, variant_j), i < j, named by the .snplist file."""
     names = read_lines(path + ".snplist")
     width = len(names)
 
     def run(batches):
+        named = pa.array(names, pa.string())
         for batch in batches:
             for content in batch.column("content"):
                 data = content.as_py()
@@ -82,10 +83,9 @@ def read_ld(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"{n} variants, but {width} names")
                 low = np.frombuffer(data, "<u2", n * (n - 1) // 2, 8) / 65535.0
                 i, j = np.tril_indices(n, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(i, pa.int32()), pa.array(low)], ["i", "j", "r2"])
+                yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(i, pa.int32()), pa.array(low), named.take(pa.array(j)), named.take(pa.array(i))], ["i", "j", "r2", "variant_i", "variant_j"])
 
-    pairs = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "i int, j int, r2 double")
-    return pairs
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "i int, j int, r2 double, variant_i string, variant_j string")
 
 
 def encode_ld(r2: np.ndarray, samples: int) -> bytes:
