@@ -3,7 +3,7 @@
 A tree builder reads tags, supplies the implied ones (closing head, p, li, dt, dd, option and table parts, opening tr), and keeps
 a flat list of nodes. A renderer walks the list with an explicit stack, so nesting may be of any depth: it leaves out what
 isn't visible, keeps the spacing of blocks, numbers and indents lists, keeps preformatted text, and lays out tables with
-aligned columns (a table that padding would make many times longer is laid out row by row instead).
+aligned columns, by the same rules whatever a table's size.
 
 Visible is what neither ``display: none`` nor ``visibility: hidden`` hides, in ``style`` attributes and in the rules of style
 elements whose selectors name an element, classes or an id, without combinators; other rules and at-rules don't count.
@@ -14,11 +14,12 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from allelake.llm.common import mapped
+from allelake.llm.common import BATCH_BYTES, mapped
 
 #: Element names of the HTML standard by their role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -57,8 +58,8 @@ _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _RULE = re.compile(r"([^{}]*)\{([^{}]*)(?:\}|\Z)")
 _SELECTOR = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)", re.I)
 _DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|\Z)", re.I)
-#: An aligned table may be so many times as long as its text, or this long whatever its text.
-PADDING_TIMES, PADDING_FREE = 8, 1 << 16
+#: A longer line of a cell runs over its column and doesn't widen it.
+WIDE = 512
 
 _UNQUOTED_END = re.compile(r"[^=\"']+=[^\"']*/")
 
@@ -334,7 +335,7 @@ class Canvas:
             self.newline()
         self.gap = max(self.gap, gap)
 
-    def add(self, lines: list[str]) -> None:
+    def add(self, lines: Iterable[str]) -> None:
         """Whole lines, laid out already."""
         for x in lines:
             self._begin()
@@ -358,28 +359,31 @@ class Table:
     def __init__(self) -> None:
         self.rows: list[list[tuple[list[str], int, int]]] = []
 
-    def layout(self) -> list[str]:
+    def layout(self) -> Iterator[str]:
         """Lines with columns padded to equal widths and two spaces between them.
 
-        Spans end where the grid ends: at the last row, and at as many columns as the longest row has cells.
+        Spans end where the grid ends: at the last row, and at as many columns as the longest row has cells. Text after a
+        line that runs over its column follows it by two spaces. Blanks before a text (its own included) are at most
+        ``WIDE + 2`` for each cell crossed that has such a line, so that spans, and cells that end beside long ones, can't
+        make padding grow faster than the source. No rule looks at how many rows there are.
         """
         grid = self._grid()
         starts = self._starts(grid)
-        ends = [[(starts[c], lines) for c, _, lines in placed] for placed in grid]
-        text = sum(len(x) + 2 for placed in ends for _, lines in placed for x in lines)
-        padded = sum(max(len(lines) for _, lines in placed) * (placed[-1][0] + 2) for placed in ends if placed)
-        aligned = padded <= max(PADDING_FREE, PADDING_TIMES * text)
-        out = []
-        for placed in ends:
-            for i in range(max((len(lines) for _, lines in placed), default=0)):
-                parts, at = [], 0
-                for start, lines in placed:
-                    if i < len(lines) and lines[i]:
-                        gap = max(0, start - at) if aligned else 2 * (at > 0)
+        for placed in grid:
+            cells, i = placed if any(lines for _, _, lines in placed) else [], 0
+            while cells:
+                parts, at, room = [], 0, 0
+                for c, _, lines in cells:
+                    room += WIDE + 2
+                    if lines and lines[i]:
+                        own = len(lines[i]) - len(lines[i].lstrip(" "))
+                        gap = max(2 * (at > 0), min(starts[c] - at, room - own))
                         parts.append(" " * gap + lines[i])
                         at += gap + len(lines[i])
-                out.append("".join(parts).rstrip(" "))
-        return out
+                        room = 0
+                yield "".join(parts).rstrip(" ")
+                i += 1
+                cells = [x for x in cells if len(x[2]) > i]
 
     def _grid(self) -> list[list[tuple[int, int, list[str]]]]:
         """Cells of each row as (column, columns, lines), beside what spans down from the rows above."""
@@ -413,7 +417,7 @@ class Table:
         for placed in grid:
             for c, wide, lines in placed:
                 begins.add(c)
-                size = max(map(len, lines), default=0)
+                size = max((len(x) for x in lines if len(x) <= WIDE), default=0)
                 if wide == 1:
                     widths[c] = max(widths.get(c, 0), size)
                 else:
@@ -424,10 +428,10 @@ class Table:
         starts, at, s = {}, 0, 0
         for c in sorted(begins | widths.keys()):
             starts[c] = at
+            at += widths.get(c, 0) + 2 * (widths.get(c, 0) > 0)
             while s < len(spans) and spans[s][0] == c:  # begins of those are known: they lie before
-                widths[c] = max(widths[c], spans[s][2] - (at - starts[spans[s][1]]))
+                at = max(at, starts[spans[s][1]] + spans[s][2] + 2 * (spans[s][2] > 0))
                 s += 1
-            at += widths.get(c, 0) + 2 * (widths.get(c, 0) > 0)
         return starts
 
 
@@ -553,8 +557,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = [render(x) for x in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "text", "n_chars"])
+                part, texts, size = batch.slice(lo, 256), [], 0
+                for i, source in enumerate(part.column("html").to_pylist(), 1):
+                    texts.append(render(source))
+                    size += len(texts[-1])
+                    if size > BATCH_BYTES or i == part.num_rows:  # padding may make texts longer than their source
+                        ids = part.column("page_id").slice(i - len(texts), len(texts))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "text", "n_chars"])
+                        texts, size = [], 0
 
     return pages.select("page_id", "html").transform(mapped(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, text string, n_chars long"))

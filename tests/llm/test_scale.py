@@ -154,6 +154,36 @@ def test_hostile_tables():
     assert time.time() - began < 20
 
 
+def test_table_layout_does_not_depend_on_its_length():
+    for n in (5, 64, 65, 3_000):
+        out = html_text.render("<table><tr><td>" + "a" * 1_000 + "<td>b<tr><td>sss<td>t" + "<tr><td>s<td>t" * n + "</table>").splitlines()
+        assert out == ["a" * 1_000 + "  b", "sss  t"] + ["s    t"] * n
+        out = html_text.render("<table><tr><td>" + "a" * 500 + "<td>b" + "<tr><td>s<td><td>t" * n + "</table>").splitlines()
+        assert out == ["a" * 500 + "  b"] + ["s" + " " * 504 + "t"] * n
+        tall = html_text.render("<table><tr><td>" + "a" * 300 + "<td><pre>" + "x\n" * n + "</pre></table>").splitlines()
+        assert tall == ["a" * 300 + "  x"] + [" " * 302 + "x"] * (n - 1)
+    assert html_text.render("<table><tr><td>ab<td><td>z<tr><td colspan=2>abcd<td>y</table>") == "ab    z\nabcd  y"
+
+
+def test_table_padding_is_linear():
+    wide, began = "<tr>" + ("<td>" + "a" * 500) * 300, time.time()
+    for rest in ("<tr><td colspan=299>b<td>x" * 3_000, "<tr><td rowspan=9999 colspan=299><td>x" + "<tr><td>x" * 6_000, "<tr>" + "<td>" * 299 + "<td><pre>" + "x\n" * 30_000):
+        out = html_text.render("<table>" + wide + rest)
+        assert out.count("x") == rest.count("x") and out.count("a") == 150_000 and len(out) < 300 * len(wide + rest)
+    nested = "x"
+    for _ in range(30):
+        nested = "<table><tr><td>" + "a" * 500 + "<td>b<tr><td><td>" + nested + "<br>x" * 50 + "</table>"
+    out = html_text.render(nested)
+    assert out.count("x") == 1_501 and len(out) < 300 * len(nested) and time.time() - began < 20
+
+
+def test_long_texts_go_batch_by_batch(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "BATCH_BYTES", 10)
+    rows = [(i, "<p>" + "x" * (i % 7)) for i in range(600)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string")).collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(i, "x" * (i % 7), i % 7) for i in range(600)]
+
+
 def test_spans():
     r = html_text.render
     assert r("<table><tr><td>a<td>bbb<tr><td colspan=2>wide wide<td>z<tr><td rowspan=2>q<td>r<td>s<tr><td>t<td>u</table>") == "a  bbb\nwide wide  z\nq  r       s\n   t       u"
