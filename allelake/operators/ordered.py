@@ -9,18 +9,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 CHUNK = 8192
+#: Bits of an integer key that a window takes at once: stretches of 2^18 keys, and 2^23 stretches.
+STRETCHES = (18, 23)
+
+
+def stretch_of(order: str, bits: int):
+    """Stretch of 2^bits keys that an integer key lies in; nulls lie before all others, as they are ordered."""
+    return F.coalesce(F.shiftright(F.col(order).cast("long"), bits), F.lit(-(1 << 63)))
+
+
+def running_sums(table: DataFrame, sums: dict[str, str], order: list[str], by: list[str], reverse: bool = False, exclusive: bool = False, stretches: tuple[int, ...] = STRETCHES) -> DataFrame:
+    """``table`` with running sums (name: column) within ``by``; null where nothing has been added.
+
+    Sums from the end go over the rows in descending order: a frame that ends at the last row is added up anew for each row.
+    If the first column of ``order`` is an integer, rows are summed within stretches of it and the stretches' totals likewise,
+    so no task holds all rows of a group; any other order (and decimals, which sums of sums would widen) takes a task a group.
+    """
+    ends = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
+
+    def within(keys: list[str]) -> dict:
+        w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(*ends).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+        return {name: F.sum(value).over(w) for name, value in sums.items()}
+
+    plain = table.withColumns(within(by))
+    if not stretches or not isinstance(table.schema[order[0]].dataType, IntegralType) or any(isinstance(plain.schema[name].dataType, DecimalType) for name in sums):
+        return plain
+    stretch = f"_stretch{len(stretches)}"
+    cut = table.withColumn(stretch, stretch_of(order[0], stretches[0]))
+    totals = cut.groupBy(*by, stretch).agg(*(F.sum(value).alias(f"_total_{name}") for name, value in sums.items()))
+    before = running_sums(totals, {f"_before_{name}": f"_total_{name}" for name in sums}, [stretch], by, reverse, True, stretches[1:])
+    before = before.select(F.col(stretch).alias("_of"), *(F.col(k).alias(f"_by_{k}") for k in by), *(f"_before_{name}" for name in sums))
+    same = F.col(stretch) == F.col("_of")
+    for k in by:
+        same &= F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    both = cut.withColumns(within([*by, stretch])).join(before, same)
+    plus = {name: F.coalesce(F.col(name) + F.col(f"_before_{name}"), F.col(name), F.col(f"_before_{name}")) for name in sums}
+    return both.select(*(plus[c].alias(c) if c in plus else c for c in plain.columns))
 
 
 def cumulative_sum(table: DataFrame, value: str, order: list[str], by: list[str], name: str = "cumulative", reverse: bool = False, exclusive: bool = False) -> DataFrame:
     """Running sum within ``by``, from the first row (or, with ``reverse``, from the last), without the row itself if ``exclusive``."""
-    w = W.partitionBy(*by).orderBy(*order)
-    if reverse:
-        w = w.rowsBetween(1 if exclusive else 0, W.unboundedFollowing)
-    else:
-        w = w.rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
-    return table.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    return running_sums(table, {name: value}, order, by, reverse, exclusive).withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
 def chromosome_offsets(variants: DataFrame, chrom: str = "chrom", pos: str = "genpos") -> DataFrame:
@@ -40,16 +72,14 @@ def risk_sets(table: DataFrame, time: str = "time", status: str = "status", valu
     those at risk of each expression in ``values``. Rows are summed to one for each time before the window."""
     by, values = by or [], values or {}
     at = table.groupBy(*by, time).agg(F.count("*").alias("members"), F.sum(status).alias("events"), *(F.sum(F.expr(e)).alias(f"_{k}") for k, e in values.items()))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    w = w.orderBy(time).rowsBetween(0, W.unboundedFollowing)
-    return at.select(*by, time, "members", "events", F.sum("members").over(w).alias("at_risk"), *(F.sum(f"_{k}").over(w).alias(k) for k in values))
+    sums = running_sums(at, {"at_risk": "members", **{k: f"_{k}" for k in values}}, [time], by, reverse=True)
+    return sums.select(*by, time, "members", "events", "at_risk", *values)
 
 
 def tie_groups(table: DataFrame, time: str = "time", key: str = "sample_index") -> DataFrame:
     """For each distinct time: place of its first member in order of time, and the number of members."""
     at = table.groupBy(time).agg(F.count("*").alias("size"))
-    w = W.partitionBy(F.lit(0)).orderBy(time).rowsBetween(W.unboundedPreceding, -1)
-    return at.select(time, F.coalesce(F.sum("size").over(w), F.lit(0)).alias("first_index"), "size")
+    return running_sums(at, {"first_index": "size"}, [time], [], exclusive=True).select(time, F.coalesce("first_index", F.lit(0)).alias("first_index"), "size")
 
 
 def chunk_of(index: str = "variant_index", size: int = CHUNK):
