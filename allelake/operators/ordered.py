@@ -92,12 +92,21 @@ def chunk_plan(variants: DataFrame, index: str = "variant_index", chrom: str = "
 
 
 def run_boundaries(table: DataFrame, value: str, order: str, bins: int = 1) -> DataFrame:
-    """Start (and stop, not included) of each run of equal values in ``order``, a dense integer index.
+    """Start (and stop, not included) of each run of equal values in ``order``, an integer index.
 
-    The neighbour is found by a join on index + 1, so no window over all rows is needed; starts alone are ordered.
+    Neighbours are found within stretches of the index, which may have gaps; what comes before and after a stretch, from one
+    row for each stretch. Only those rows are ordered as a whole: for a dense index, one of 2^18.
     """
-    before = table.select((F.col(order) + 1).alias(order), F.col(value).alias("_before"))
-    starts = table.select(order, value).join(before, order, "left").where(~F.col(value).eqNullSafe(F.col("_before")) | F.col("_before").isNull())
-    last = table.agg((F.max(order) + 1).alias("_end"))
-    w = W.partitionBy(F.lit(0)).orderBy(order)
-    return starts.crossJoin(F.broadcast(last)).select(F.col(order).alias("start_index"), F.coalesce(F.lead(order).over(w), F.col("_end")).alias("stop_index"), value)
+    bits = STRETCHES[0]
+    c, w = F.col, W.partitionBy("_stretch").orderBy(order)
+    differs = lambda before: ~c(value).eqNullSafe(before) | before.isNull()
+    rows = table.select(order, value).withColumn("_stretch", stretch_of(order, bits))
+    starts = rows.withColumns({"_edge": F.row_number().over(w) == 1, "_before": F.lag(value).over(w)}).where(c("_edge") | differs(c("_before"))).select(order, value, "_stretch", "_edge")
+    ends = rows.groupBy("_stretch").agg(F.max_by(value, order).alias("_last"), F.max(order).alias("_most"))
+    firsts = starts.groupBy("_stretch").agg(F.min(order).alias("_edge_at"), F.min_by(value, order).alias(value), F.min(F.when(~c("_edge"), c(order))).alias("_inner"))
+    along, back = W.partitionBy(F.lit(0)).orderBy("_stretch"), W.partitionBy(F.lit(0)).orderBy(c("_stretch").desc())
+    cuts = ends.join(firsts, "_stretch").withColumn("_before", F.lag("_last").over(along)).withColumn("_kept", differs(c("_before"))).withColumn("_first", F.when(c("_kept"), c("_edge_at")).otherwise(c("_inner")))
+    later = back.rowsBetween(W.unboundedPreceding, -1)
+    cuts = cuts.select(c("_stretch").alias("_of"), "_kept", F.coalesce(F.min("_first").over(later), F.max(c("_most") + 1).over(W.partitionBy(F.lit(0)))).alias("_next"))
+    found = starts.withColumn("_stop", F.lead(order).over(w)).join(cuts, c("_stretch") == c("_of")).where(~c("_edge") | c("_kept"))
+    return found.select(c(order).alias("start_index"), F.coalesce("_stop", "_next").alias("stop_index"), value)

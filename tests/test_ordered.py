@@ -39,3 +39,29 @@ def test_sums_from_the_end_are_linear_and_split(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "unboundedfollowing" not in plan and "_stretch" in plan
     assert "_stretch" in ordered.tie_groups(table, "time", "k")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bits", [1, 3, 18])
+def test_runs_over_stretches_and_gaps(spark, monkeypatch, bits):
+    monkeypatch.setattr(ordered, "STRETCHES", (bits, 23), raising=False)
+    r = random.Random(bits)
+    keys = sorted(set(range(-20, 40)) | set(range(100, 140, 3)) | {1000, 1001, 5000})
+    values = []
+    for _ in keys:
+        values.append(values[-1] if values and r.random() < 0.8 else r.choice("abc"))
+    starts = [i for i in range(len(keys)) if i == 0 or values[i] != values[i - 1]]
+    expected = [(keys[i], keys[j] if j is not None else keys[-1] + 1, values[i]) for i, j in zip(starts, [*starts[1:], None])]
+    table = spark.createDataFrame(list(zip(keys, values)), "k long, v string").repartition(4)
+    found = ordered.run_boundaries(table, "v", "k")
+    assert sorted(map(tuple, found.collect())) == expected
+    assert found.columns == ["start_index", "stop_index", "v"]
+
+
+def test_runs_are_found_within_stretches(spark, monkeypatch):
+    """No window holds all starts: the largest partition of any is one stretch, or a row for each stretch."""
+    monkeypatch.setattr(ordered, "STRETCHES", (6, 23), raising=False)
+    table = spark.range(4096).selectExpr("id as k", "id % 2 as v")
+    found = ordered.run_boundaries(table, "v", "k")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window " in line and "lead" in line]
+    assert found.count() == 4096 and windows and all("_stretch" in line for line in windows)
